@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenline.functions.settle import settle
+
 # All white space there is, as a regex class and as characters.
 ASCII_SPACES = r"\t-\r\x1c-\x20"
 SPACES = ASCII_SPACES + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -127,4 +129,4 @@ def clean_text(df: DataFrame, text: str = "text", cap: int | None = None, min_le
     tidied = tidy(F.col(text))
     if cap is not None:
         tidied = F.substring(tidied, 1, cap)
-    return df.withColumn(text, tidied).filter(F.length(text) >= max(1, min_len or 1))
+    return settle(df, {text: tidied}).filter(F.length(text) >= max(1, min_len or 1))

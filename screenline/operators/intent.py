@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenline import fixed
+from screenline.functions.settle import settle
 from screenline.functions.text import detector_text
 from screenline.functions.values import index_label, round_confidence
 
@@ -40,7 +41,7 @@ def keyword_intent(df: DataFrame, text_col: str) -> DataFrame:
 def keywords_on(df: DataFrame, low: str) -> DataFrame:
     """``keyword_intent`` for a column that already is detector text."""
     text = F.col(low)
-    df = df.withColumns({
+    df = settle(df, {
         "_injection": phrase_hits(text, fixed.INJECTION_PHRASES),
         "_jailbreak": phrase_hits(text, fixed.JAILBREAK_PHRASES),
     })

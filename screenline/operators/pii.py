@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenline import fixed
+from screenline.functions.settle import settle
 from screenline.functions.text import find_all, matches
 from screenline.functions.values import contract_type, kind_severity, valid_card
 
@@ -54,8 +55,8 @@ def detect_pii(df: DataFrame, text_col: str) -> DataFrame:
                       _entities(F.col("_ids"), "GOVERNMENT_ID"), _entities(F.col("_cards"), "CREDIT_CARD"))
     df = df.withColumn("_others", F.when(
         F.col("_has_mail") | F.col("_has_key") | F.col("_has_digits"), others).otherwise(F.array().cast(_ENTITIES)))
-    df = df.withColumn("pii", F.when(F.size("_phones") == 0, F.col("_others")).otherwise(F.concat(
-        F.col("_others"), _entities(_distinct_phones(F.col("_phones"), F.col("_others")), "PHONE"))))
+    df = settle(df, {"pii": F.when(F.size("_phones") == 0, F.col("_others")).otherwise(F.concat(
+        F.col("_others"), _entities(_distinct_phones(F.col("_phones"), F.col("_others")), "PHONE")))})
     return df.withColumn("data_leakage_severity", pii_severity(F.col("pii"))).drop(
         "_pii_text", "_has_digits", "_has_mail", "_has_key", "_emails", "_keys", "_ids", "_cards", "_phones", "_others")
 

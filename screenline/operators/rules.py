@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenline import fixed
+from screenline.functions.settle import settle
 from screenline.functions.text import ascii_form, detector_text, is_ascii, unicode_form
 
 # Groups of substrings; a match of the rule holds at least one of each group.
@@ -106,7 +107,7 @@ def _masks(df: DataFrame, low: str, pack: Sequence[Rule]) -> tuple[DataFrame, li
         return plain if rule.folds else F.when(F.col("_plain"), plain).otherwise(
             F.col("_text").rlike(unicode_form(rule.pattern)))
 
-    df = df.withColumns({name: _mask([
+    df = settle(df, {name: _mask([
         F.when(_bit(F.col(m), j), found(r)).otherwise(F.lit(False)) for j, r in enumerate(c)])
         for name, m, c in zip(masks, maybe, chunks)})
     bits = [_bit(F.col(name), j) for name, c in zip(masks, chunks) for j in range(len(c))]

@@ -130,12 +130,12 @@ scan AS (
   SELECT *, CASE WHEN decision = 'SANITIZE' AND len(pii) > 0 THEN {_redact('prompt')} END AS sanitized_prompt,
     CASE WHEN decision = 'SANITIZE' AND len(pii) > 0 THEN {_redact('t')} END AS sanitized_normal FROM decided),
 threat_rows AS (
-  SELECT prompt_id, threat, min(at) AS at FROM (
-    SELECT prompt_id, threat, rule_no AS at FROM hits
+  SELECT prompt_id, threat, min(seat) AS seat FROM (
+    SELECT prompt_id, threat, rule_no AS seat FROM hits
     UNION ALL SELECT prompt_id, label, 100 FROM scan WHERE label IS NOT NULL
     UNION ALL SELECT prompt_id, 'SENSITIVE_DATA', 200 FROM scan WHERE len(pii) > 0) GROUP BY prompt_id, threat),
 signal_rows AS (
-  SELECT prompt_id, rule_no AS at, 'RULE' AS type, message, severity::INTEGER AS severity, NULL::DOUBLE AS confidence FROM hits
+  SELECT prompt_id, rule_no AS seat, 'RULE' AS type, message, severity::INTEGER AS severity, NULL::DOUBLE AS confidence FROM hits
   UNION ALL SELECT prompt_id, 100, 'ML', 'ML classifier detected ' || label, trunc(confidence * 100)::INTEGER, confidence
     FROM scan WHERE label IS NOT NULL
   UNION ALL SELECT prompt_id, 200, 'PII', len(pii) || ' PII entity/entities detected', data_leakage_severity, NULL
@@ -280,8 +280,8 @@ ORACLE: dict[str, str] = {
         SELECT key, form, length(replace(c, '-', '')) BETWEEN 13 AND 19 AND {_luhn('c')} AS valid FROM long""",
     "rule_score": RULES_ONLY + """SELECT prompt_id, coalesce(rule_score, 0)::INTEGER AS rule_score
         FROM prompts LEFT JOIN rule_scores USING (prompt_id)""",
-    "rule_threats": RULES_ONLY + """, firsts AS (SELECT prompt_id, threat, min(rule_no) AS at FROM hits GROUP BY ALL)
-        SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY at) - 1)::INTEGER AS threat_no, threat FROM firsts""",
+    "rule_threats": RULES_ONLY + """, firsts AS (SELECT prompt_id, threat, min(rule_no) AS seat FROM hits GROUP BY ALL)
+        SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY seat) - 1)::INTEGER AS threat_no, threat FROM firsts""",
     "rule_signals": RULES_ONLY + """SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY rule_no) - 1)::INTEGER AS signal_no,
         'RULE' AS type, message, severity::INTEGER AS severity, NULL::DOUBLE AS confidence FROM hits""",
     "rule_hits_long": RULES_ONLY + "SELECT prompt_id, name, threat, severity::INTEGER AS severity FROM hits",
@@ -306,9 +306,9 @@ ORACLE: dict[str, str] = {
         intent_severity, count(*) AS n_rows FROM rated GROUP BY ALL""",
     "scan_decisions": SCAN + "SELECT decision, count(*) AS prompts, round(avg(risk_score), 6) AS mean_score FROM scan GROUP BY decision",
     "scan_scores": SCAN + "SELECT scan_id, risk_score, decision FROM scan",
-    "scan_threats": SCAN + """SELECT scan_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY at) - 1)::INTEGER AS threat_no, threat
+    "scan_threats": SCAN + """SELECT scan_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY seat) - 1)::INTEGER AS threat_no, threat
         FROM threat_rows JOIN scan USING (prompt_id)""",
-    "scan_signals": SCAN + """SELECT scan_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY at) - 1)::INTEGER AS signal_no,
+    "scan_signals": SCAN + """SELECT scan_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY seat) - 1)::INTEGER AS signal_no,
         type, message, severity, r.confidence FROM signal_rows r JOIN (SELECT prompt_id, scan_id FROM scan) USING (prompt_id)""",
     "scan_redacted": SCAN + """SELECT scan_id, md5(sanitized_prompt) AS sanitized_md5,
         coalesce(len(list_filter(pii, lambda e: contains(sanitized_prompt, e.text))) > 0, false) AS residual_leak FROM scan""",
@@ -322,7 +322,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'threat', threat, count(*) FROM threat_rows WHERE prompt_id IN (SELECT prompt_id FROM events_scanned) GROUP BY threat""",
     "event_log_roundtrip": SCAN + """SELECT strftime(at_time, '%Y-%m-%d') AS event_day, decision, count(*) AS events,
         sum(len(pii))::BIGINT AS entities FROM events_scanned GROUP BY ALL""",
-    "event_json": SCAN + """, listed AS (SELECT prompt_id, list(threat ORDER BY at) AS threats FROM threat_rows GROUP BY prompt_id),
+    "event_json": SCAN + """, listed AS (SELECT prompt_id, list(threat ORDER BY seat) AS threats FROM threat_rows GROUP BY prompt_id),
         counted AS (SELECT prompt_id, count(*) AS n FROM signal_rows GROUP BY prompt_id)
         SELECT scan_id, coalesce('["' || array_to_string(threats, '","') || '"]', '[]') AS threats_json,
         md5('[' || array_to_string(list_transform(pii, lambda e: '{"type":"' || e.type || '","text":"' || e.text || '","severity":' || e.severity || '}'), ',') || ']') AS pii_md5,
@@ -342,7 +342,7 @@ ORACLE: dict[str, str] = {
     "events_search_id": SCAN + """SELECT scan_id, decision FROM events_scanned
         WHERE contains(lower(prompt), '-ab') OR contains(lower(scan_id), '-ab')""",
     "events_signals": SCAN + """SELECT scan_id, risk_score, CASE WHEN type IS NOT NULL
-        THEN row_number() OVER (PARTITION BY e.prompt_id ORDER BY r.at) END::INTEGER AS signal_no, type, message, severity, r.confidence
+        THEN row_number() OVER (PARTITION BY e.prompt_id ORDER BY r.seat) END::INTEGER AS signal_no, type, message, severity, r.confidence
         FROM events_scanned e LEFT JOIN signal_rows r ON r.prompt_id = e.prompt_id""",
     "events_redacted_only": SCAN + """SELECT scan_id, md5(prompt) AS original_md5, md5(sanitized_prompt) AS sanitized_md5
         FROM events_scanned WHERE sanitized_prompt IS NOT NULL""",
