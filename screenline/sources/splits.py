@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from screenline.schema import SPLIT
 
-_CSV = {"header": True, "escape": '"', "quote": '"', "multiLine": True}
+# Quotes doubled, and white space at either end of a text kept.
+_CSV = {"header": True, "escape": '"', "quote": '"',
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Text and label, one folder per split."""
     writer = df.select("text", "label", "split").write.mode("overwrite").partitionBy("split")
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"', quote='"')
+        writer = writer.options(**_CSV)
     writer.format(fmt).save(path)
 
 
@@ -22,6 +24,6 @@ def read_split(spark: SparkSession, path: str, name: str | None = None, fmt: str
     """Text and label of one split (all, with the split, if no name is given)."""
     reader = spark.read.format(fmt).schema(SPLIT)
     if fmt == "csv":
-        reader = reader.options(**_CSV)
+        reader = reader.options(**_CSV, multiLine=True)
     df = reader.load(path)
     return df if name is None else df.filter(F.col("split") == name).select("text", "label")
