@@ -2,8 +2,9 @@ r"""The registered queries once more, as SQL for an independent engine.
 
 Written from the description of each operator, not from the Spark code: rules
 are a joined table, lists are aggregated or folded, splits are plain window
-functions. ``\b``, ``\w`` and ``\d`` are ASCII in that engine, which makes no
-difference on the given tables.
+functions. ``\b`` and ``\w`` are ASCII in that engine; where that matters (a card
+or phone next to an accented letter) all letters are turned into ``x`` first,
+which leaves digits and separators, the only things those patterns take, alone.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ def _pii(text: str) -> str:
     """CTEs ``<text>`` -> ``pii_found(prompt_id, t, pii, data_leakage_severity)``."""
     return f"""
 pii_raw AS (
-  SELECT *, regexp_extract_all(t, {_s(fixed.EMAIL_PATTERN)}) AS emails,
+  SELECT * EXCLUDE (digits_only), regexp_extract_all(t, {_s(fixed.EMAIL_PATTERN)}) AS emails,
     regexp_extract_all(t, {_s('(?i)' + fixed.API_KEY_PATTERN)}) AS keys,
-    regexp_extract_all(t, {_s(fixed.GOVERNMENT_ID_PATTERN)}) AS ids,
-    list_filter(regexp_extract_all(t, {_s(fixed.CREDIT_CARD_PATTERN)}), lambda x: {_luhn('x')}) AS cards,
-    regexp_extract_all(t, {_s(fixed.PHONE_PATTERN)}) AS phones
-  FROM {text}),
+    regexp_extract_all(digits_only, {_s(fixed.GOVERNMENT_ID_PATTERN)}) AS ids,
+    list_filter(regexp_extract_all(digits_only, {_s(fixed.CREDIT_CARD_PATTERN)}), lambda x: {_luhn('x')}) AS cards,
+    regexp_extract_all(digits_only, {_s(fixed.PHONE_PATTERN)}) AS phones
+  FROM (SELECT *, regexp_replace(t, '\\pL', 'x', 'g') AS digits_only FROM {text})),
 pii_base AS (
   SELECT *, list_concat(emails, list_concat(keys, list_concat(ids, cards))) AS base FROM pii_raw),
 pii_folded AS (
