@@ -24,8 +24,8 @@ from screenline.functions.settle import settle
 # All white space there is, as a regex class and as characters.
 ASCII_SPACES = r"\t-\r\x1c-\x20"
 SPACES = ASCII_SPACES + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ASCII_BREAKS = [chr(i) for i in (*range(0x09, 0x0E), *range(0x1C, 0x20))]
-_WIDE_BREAKS = [chr(i) for i in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_BREAKS = "".join(chr(i) for i in (
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 # Characters NFKC leaves alone in any combination: ASCII, accented Latin-1
 # letters, basic Cyrillic, common dashes and quotes, kana, Han. Anything else
@@ -58,6 +58,15 @@ def unicode_form(pattern: str) -> str:
     )
 
 
+def quoted(text: str) -> str:
+    """``text`` as a SQL string literal.
+
+    Long lists of tests are written as SQL text, because building them column by
+    column costs seconds of driver time per query.
+    """
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Search ``pattern`` in ``c`` with Unicode meaning."""
     return F.when(is_ascii(c), c.rlike(ascii_form(pattern))).otherwise(c.rlike(unicode_form(pattern)))
@@ -89,21 +98,13 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(unstable, c)), c)
 
 
-def _spaced(c: Column, breaks: list[str]) -> Column:
-    for ch in breaks:
-        c = F.replace(c, F.lit(ch), F.lit(" "))
-    return c
-
-
 def tidy(c: Column) -> Column:
     """Collapse white space runs to one space and strip the ends.
 
-    Plain replacements are much cheaper than a regex over all white space, so
-    the regex engine only looks for runs of spaces.
+    Mapping characters is cheaper than a regex over all white space, so the
+    regex engine only looks for runs of spaces.
     """
-    plain = _spaced(c, _ASCII_BREAKS)
-    spaced = F.when(is_ascii(c), plain).otherwise(_spaced(plain, _WIDE_BREAKS))
-    return F.trim(F.regexp_replace(spaced, "  +", " "))
+    return F.trim(F.regexp_replace(F.translate(c, _BREAKS, " " * len(_BREAKS)), "  +", " "))
 
 
 def is_blank(c: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import groupby
 
 from pyspark.ml import Transformer
@@ -13,24 +12,22 @@ from pyspark.sql import functions as F
 
 from screenline import fixed
 from screenline.functions.settle import settle
-from screenline.functions.text import detector_text
+from screenline.functions.text import detector_text, quoted
 from screenline.functions.values import index_label, round_confidence
 
 
-def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
-    """How many distinct phrases the text contains.
+def phrase_hits(text: str, phrases: Sequence[str]) -> Column:
+    """How many distinct phrases the text column contains.
 
     Phrases that share their first word are tried only where that word occurs.
     """
-    def count(group: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in group])
-
     parts = []
-    for word, group in groupby(sorted(phrases), key=lambda p: p.split(" ")[0]):
-        group = list(group)
-        parts.append(count(group) if len(group) == 1 else
-                     F.when(F.contains(text, F.lit(word)), count(group)).otherwise(F.lit(0)))
-    return reduce(lambda a, b: a + b, parts)
+    for word, group in groupby(sorted(set(phrases)), key=lambda p: p.split(" ")[0]):
+        tests = [f"CAST(contains({text}, {quoted(p)}) AS INT)" for p in group]
+        count = " + ".join(tests)
+        parts.append(count if len(tests) == 1 else
+                     f"CASE WHEN contains({text}, {quoted(word)}) THEN {count} ELSE 0 END")
+    return F.expr(" + ".join(parts))
 
 
 def keyword_intent(df: DataFrame, text_col: str) -> DataFrame:
@@ -40,10 +37,9 @@ def keyword_intent(df: DataFrame, text_col: str) -> DataFrame:
 
 def keywords_on(df: DataFrame, low: str) -> DataFrame:
     """``keyword_intent`` for a column that already is detector text."""
-    text = F.col(low)
     df = settle(df, {
-        "_injection": phrase_hits(text, fixed.INJECTION_PHRASES),
-        "_jailbreak": phrase_hits(text, fixed.JAILBREAK_PHRASES),
+        "_injection": phrase_hits(low, fixed.INJECTION_PHRASES),
+        "_jailbreak": phrase_hits(low, fixed.JAILBREAK_PHRASES),
     })
     injection, jailbreak = F.col("_injection"), F.col("_jailbreak")
     hits = F.greatest(injection, jailbreak)

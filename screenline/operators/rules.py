@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenline import fixed
 from screenline.functions.settle import settle
-from screenline.functions.text import ascii_form, detector_text, is_ascii, unicode_form
+from screenline.functions.text import ascii_form, detector_text, is_ascii, quoted, unicode_form
 
 # Groups of substrings; a match of the rule holds at least one of each group.
 _NEEDED = {
@@ -37,6 +36,7 @@ _NEEDED = {
     "encoding_obfuscation": [["decode", "translate"], ["base64", "rot13", "hex decode", "from binary"]],
 }
 _MASK_BITS = 60
+_SIGNALS = "ARRAY<STRUCT<type: STRING, message: STRING, severity: INT, confidence: DOUBLE>>"
 MAX_UNROLLED = 600
 
 
@@ -72,56 +72,50 @@ def _folded(text: Column) -> Column:
         text, r"[\p{L}\p{N}&&[^\x00-\x7f]]", "_"), r"[^\x00-\x7f]", "~")
 
 
-def _any(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def _mask(tests: Sequence[str]) -> Column:
+    """One bit per SQL condition."""
+    return F.expr(" + ".join(f"CASE WHEN {test} THEN {1 << j}L ELSE 0L END" for j, test in enumerate(tests)))
 
 
-def _mask(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [
-        F.when(test, F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint") for j, test in enumerate(tests)])
+def _bit(mask: str, j: int) -> str:
+    return f"({mask} & {1 << j}L) != 0L"
 
 
-def _bit(mask: Column, j: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << j).cast("bigint")) != 0
+def _may_match(text: str, rule: Rule) -> str:
+    groups = [" OR ".join(f"contains({text}, {quoted(word)})" for word in group) for group in rule.needed]
+    return " AND ".join(f"({g})" for g in groups) or "true"
 
 
-def _may_match(text: Column, rule: Rule) -> Column:
-    test = F.lit(True)
-    for group in reversed(rule.needed):
-        test = F.when(_any([F.contains(text, F.lit(word)) for word in group]), test).otherwise(F.lit(False))
-    return test
+def _found(rule: Rule) -> str:
+    plain = f"rlike(_folded, {quoted(ascii_form(rule.pattern))})"
+    if rule.folds:
+        return plain
+    return f"CASE WHEN _plain THEN {plain} ELSE rlike(_text, {quoted(unicode_form(rule.pattern))}) END"
 
 
-def _masks(df: DataFrame, low: str, pack: Sequence[Rule]) -> tuple[DataFrame, list[Column], list[str]]:
-    """Add the mask columns; return one boolean column per rule and the masks."""
+def _masks(df: DataFrame, low: str, pack: Sequence[Rule]) -> tuple[DataFrame, list[str], list[str]]:
+    """Add the mask columns; return one SQL condition per rule and the masks."""
     chunks = [pack[i:i + _MASK_BITS] for i in range(0, len(pack), _MASK_BITS)]
     maybe = [f"_maybe{i}" for i in range(len(chunks))]
     masks = [f"_rules{i}" for i in range(len(chunks))]
     df = df.withColumns({"_plain": is_ascii(F.col(low)), "_text": _caseless(F.col(low))})
-    df = df.withColumns({m: _mask([_may_match(F.col("_text"), r) for r in c]) for m, c in zip(maybe, chunks)})
-    df = df.withColumn("_folded", F.when(
-        F.col("_plain") | ~_any([F.col(m) != 0 for m in maybe]), F.col("_text")).otherwise(_folded(F.col("_text"))))
-
-    def found(rule: Rule) -> Column:
-        plain = F.col("_folded").rlike(ascii_form(rule.pattern))
-        return plain if rule.folds else F.when(F.col("_plain"), plain).otherwise(
-            F.col("_text").rlike(unicode_form(rule.pattern)))
-
-    df = settle(df, {name: _mask([
-        F.when(_bit(F.col(m), j), found(r)).otherwise(F.lit(False)) for j, r in enumerate(c)])
-        for name, m, c in zip(masks, maybe, chunks)})
-    bits = [_bit(F.col(name), j) for name, c in zip(masks, chunks) for j in range(len(c))]
+    df = df.withColumns({m: _mask([_may_match("_text", r) for r in c]) for m, c in zip(maybe, chunks)})
+    nothing = F.expr(" AND ".join(["true", *[f"{m} = 0L" for m in maybe]]))
+    df = df.withColumn("_folded", F.when(F.col("_plain") | nothing, F.col("_text")).otherwise(_folded(F.col("_text"))))
+    df = settle(df, {name: _mask([f"{_bit(m, j)} AND {_found(r)}" for j, r in enumerate(c)])
+                     for name, m, c in zip(masks, maybe, chunks)}) if chunks else df
+    bits = [_bit(name, j) for name, c in zip(masks, chunks) for j in range(len(c))]
     return df.drop("_plain", "_text", "_folded", *maybe), bits, masks
 
 
-def _collect(bits: Sequence[Column], values: Sequence[Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(bit, value) for bit, value in zip(bits, values)]))
+def _gather(bits: Sequence[str], values: Sequence[str]) -> str:
+    cases = ", ".join(f"CASE WHEN {bit} THEN {value} END" for bit, value in zip(bits, values))
+    return f"array_compact(array({cases}))"
 
 
-def signal(rule: Rule) -> Column:
-    return F.struct(
-        F.lit("RULE").alias("type"), F.lit(rule.message).alias("message"),
-        F.lit(rule.severity).alias("severity"), F.lit(None).cast("double").alias("confidence"))
+def _signal(rule: Rule) -> str:
+    return (f"named_struct('type', 'RULE', 'message', {quoted(rule.message)}, 'severity', {rule.severity}, "
+            "'confidence', CAST(NULL AS DOUBLE))")
 
 
 def detect_rules(df: DataFrame, text_col: str, pack: Sequence[Rule] = BUILTIN) -> DataFrame:
@@ -132,15 +126,18 @@ def detect_rules(df: DataFrame, text_col: str, pack: Sequence[Rule] = BUILTIN) -
 def rules_on(df: DataFrame, low: str, pack: Sequence[Rule] = BUILTIN) -> DataFrame:
     """``detect_rules`` for a column that already is detector text."""
     df, bits, masks = _masks(df, low, pack)
-    any_hit = _any([F.col(m) != 0 for m in masks]) if masks else F.lit(False)
-    no_threats = F.array().cast("array<string>")
-    no_signals = F.array().cast("array<struct<type:string,message:string,severity:int,confidence:double>>")
+    any_hit = " OR ".join(["false", *[f"{m} != 0L" for m in masks]])
+    severities = "".join(f", CASE WHEN {b} THEN {r.severity} ELSE 0 END" for b, r in zip(bits, pack))
+
+    def lists(items: str, kind: str) -> Column:
+        return F.expr(f"CASE WHEN {any_hit} THEN {items} ELSE CAST(array() AS {kind}) END")
+
     return df.withColumns({
-        "rule_score": F.greatest(F.lit(0), *[F.when(b, F.lit(r.severity)) for b, r in zip(bits, pack)])
-        if len(pack) else F.lit(0),
-        "rule_threats": F.when(any_hit, F.array_distinct(
-            _collect(bits, [F.lit(r.threat) for r in pack]))).otherwise(no_threats),
-        "rule_signals": F.when(any_hit, _collect(bits, [signal(r) for r in pack])).otherwise(no_signals),
+        "rule_score": F.expr(f"greatest(0, 0{severities})"),
+        "rule_threats": lists(f"array_distinct({_gather(bits, [quoted(r.threat) for r in pack])})", "ARRAY<STRING>")
+        if pack else F.expr("CAST(array() AS ARRAY<STRING>)"),
+        "rule_signals": lists(_gather(bits, [_signal(r) for r in pack]), _SIGNALS)
+        if pack else F.expr(f"CAST(array() AS {_SIGNALS})"),
     }).drop(*masks)
 
 
@@ -166,10 +163,10 @@ def rule_hits(df: DataFrame, text_col: str, rules: DataFrame | Sequence[Rule] =
     if not pack:
         return df.select(*keep, *[F.lit(None).alias(c) for c in out]).limit(0)
     df, bits, _ = _masks(df, "_low", pack)
-    hit = _collect(bits, [F.struct(
-        F.lit(r.name).alias("name"), F.lit(r.threat).alias("threat"),
-        F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message")) for r in pack])
-    return df.select(*keep, F.explode(hit).alias("_hit")).select(*keep, *[F.col(f"_hit.{c}") for c in out])
+    hits = _gather(bits, [
+        f"named_struct('name', {quoted(r.name)}, 'threat', {quoted(r.threat)}, 'severity', {r.severity}, "
+        f"'message', {quoted(r.message)})" for r in pack])
+    return df.select(*keep, F.expr(f"explode({hits})").alias("_hit")).select(*keep, *[F.col(f"_hit.{c}") for c in out])
 
 
 def rule_hit_counts(df: DataFrame, text_col: str, by: Sequence[str] = (), pack: Sequence[Rule] = BUILTIN,
