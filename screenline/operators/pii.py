@@ -70,6 +70,15 @@ def pii_severity(pii: Column) -> Column:
     return F.when(F.size(pii) == 0, F.lit(0)).otherwise(_compound(F.array_max(pii["severity"]), F.size(pii)))
 
 
+def _kept_spans(spans: DataFrame, min_score: float) -> DataFrame:
+    return spans.withColumn("type", contract_type(F.col("entity_type"))).filter(
+        (F.col("score") >= min_score) & F.col("type").isNotNull())
+
+
+def _slice(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
+
+
 def external_entities(df: DataFrame, spans: DataFrame, id_col: str, text_col: str,
                       min_score: float = fixed.EXTERNAL_MIN_SCORE) -> DataFrame:
     """Long table of entities named by an external finder.
@@ -77,12 +86,9 @@ def external_entities(df: DataFrame, spans: DataFrame, id_col: str, text_col: st
     ``spans`` has the id column, ``entity_type``, ``start``, ``end``, ``score``.
     Types without a counterpart are dropped before the join; overlaps stay.
     """
-    kept = (spans.withColumn("type", contract_type(F.col("entity_type")))
-            .filter((F.col("score") >= min_score) & F.col("type").isNotNull())
-            .select(id_col, "type", "start", "end"))
+    kept = _kept_spans(spans, min_score).select(id_col, "type", "start", "end")
     return df.select(id_col, text_col).join(kept, id_col).select(
-        id_col, "start", "end", "type",
-        F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
+        id_col, "start", "end", "type", _slice(F.col(text_col), F.col("start"), F.col("end")).alias("text"),
         kind_severity(F.col("type")).alias("severity"))
 
 
@@ -91,17 +97,17 @@ def pii_from_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str,
     """Add ``pii`` and ``data_leakage_severity`` from external spans.
 
     Lists are in order of start; a text without spans gets an empty one. Only
-    the short entity rows are grouped, never the texts.
+    the short spans of a text are gathered; the texts are joined once.
     """
-    found = external_entities(df, spans, id_col, text_col, min_score)
-    grouped = found.groupBy(id_col).agg(F.sort_array(F.collect_list(
-        F.struct("start", "end", "type", "text", "severity"))).alias("_found"))
-    pii = F.coalesce(
-        F.transform("_found", lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"),
-                                                 e["severity"].alias("severity"))),
-        F.array().cast(_ENTITIES))
-    return (df.join(grouped, id_col, "left").withColumn("pii", pii).drop("_found")
-            .withColumn("data_leakage_severity", pii_severity(F.col("pii"))))
+    grouped = _kept_spans(spans, min_score).groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "type"))).alias("_spans"))
+    joined = df.join(grouped, id_col, "left")
+    text = F.col(text_col)
+    found = F.transform("_spans", lambda s: F.struct(
+        s["type"].alias("type"), _slice(text, s["start"], s["end"]).alias("text"),
+        kind_severity(s["type"]).alias("severity")))
+    pii = F.coalesce(found, F.array().cast(_ENTITIES))
+    return joined.withColumn("pii", pii).drop("_spans").withColumn("data_leakage_severity", pii_severity(F.col("pii")))
 
 
 def external_severity(entities: DataFrame, id_col: str) -> DataFrame:

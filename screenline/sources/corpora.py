@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenline import fixed
-from screenline.functions.text import clean_text
+from screenline.functions.text import clean_text, is_blank
 from screenline.functions.values import lookup
 from screenline.operators.sampling import sample_n
 
@@ -55,18 +55,23 @@ def _read(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 
 
 def load_source(spark: SparkSession, spec: SourceSpec, rank: int = 0) -> DataFrame:
-    """Rows of one corpus: cleaned, capped, non-empty, labelled, sampled."""
+    """Rows of one corpus: non-empty, labelled, sampled, cleaned, capped.
+
+    A sample goes by row key, so it is drawn before the texts are cleaned.
+    """
     df = _read(spark, spec)
     if spec.keep:
         df = df.filter(spec.keep)
     pos = F.col(spec.pos_col) if spec.pos_col else F.monotonically_increasing_id()
     label = F.lit(spec.label) if isinstance(spec.label, str) else lookup(spec.label, F.col(spec.label_col))
-    df = df.filter(F.col(spec.text_col).isNotNull()).select(
+    df = df.filter(F.col(spec.text_col).isNotNull() & ~is_blank(F.col(spec.text_col))).select(
         F.col(spec.text_col).alias("text"), label.alias("_label"), pos.alias("_pos"))
     if not isinstance(spec.label, str):
         df = df.filter(F.col("_label").isNotNull())
-    rows = as_labelled(clean_text(df, cap=spec.cap), F.col("_label"), spec.name, rank, F.col("_pos"))
-    return rows if spec.sample is None else sample_n(rows, spec.sample, spec.seed, ["source", "pos"])
+    rows = as_labelled(df, F.col("_label"), spec.name, rank, F.col("_pos"))
+    if spec.sample is not None:
+        rows = sample_n(rows, spec.sample, spec.seed, ["source", "pos"])
+    return clean_text(rows, cap=spec.cap).select("text", "label", "source", "source_rank", "pos")
 
 
 def inline_source(spark: SparkSession, texts: Sequence[str], label: str, name: str = "inline", rank: int = 0) -> DataFrame:
