@@ -72,8 +72,8 @@ def matches(c: Column, pattern: str) -> Column:
     return F.when(is_ascii(c), c.rlike(ascii_form(pattern))).otherwise(c.rlike(unicode_form(pattern)))
 
 
-def find_all(c: Column, pattern: str, ignore_case: bool = False, starts: str | None = None) -> Column:
-    """Every match of ``pattern`` in ``c``, left to right.
+def find_all(column: str, pattern: str, ignore_case: bool = False, starts: str | None = None) -> str:
+    """SQL for every match of ``pattern`` in a column, left to right.
 
     ``starts`` names the characters a match can begin with; it changes nothing
     but lets the engine skip all other positions.
@@ -81,9 +81,9 @@ def find_all(c: Column, pattern: str, ignore_case: bool = False, starts: str | N
     ahead = f"(?=[{starts}])" if starts else ""
     plain = ("(?i)" if ignore_case else "") + ascii_form(ahead + pattern)
     wide = ("(?iu)" if ignore_case else "") + unicode_form(ahead + pattern)
-    return F.when(
-        is_ascii(c), F.regexp_extract_all(c, F.lit(plain), F.lit(0))
-    ).otherwise(F.regexp_extract_all(c, F.lit(wide), F.lit(0)))
+    return (f"CASE WHEN octet_length({column}) = char_length({column}) "
+            f"THEN regexp_extract_all({column}, {quoted(plain)}, 0) "
+            f"ELSE regexp_extract_all({column}, {quoted(wide)}, 0) END")
 
 
 @F.pandas_udf(T.StringType())

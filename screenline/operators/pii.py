@@ -17,46 +17,47 @@ _NINE_DIGITS = r"(?:\d[-.\s()]{0,2}){8}\d"  # any id, card or phone holds this
 _KEY_BODY = r"[-_][A-Za-z0-9\u017f\u0131\u212a\u0130]{16}"
 
 
-def _entities(texts: Column, kind: str) -> Column:
-    return F.transform(texts, lambda t: F.struct(
-        F.lit(kind).alias("type"), t.alias("text"), F.lit(fixed.SEVERITY_BY_KIND[kind]).alias("severity")))
+def _entities(texts: str, kind: str) -> str:
+    return (f"transform({texts}, t -> named_struct('type', '{kind}', 'text', t, "
+            f"'severity', {fixed.SEVERITY_BY_KIND[kind]}))")
 
 
-def _distinct_phones(phones: Column, others: Column) -> Column:
-    """Phones not contained in another entity's text or an earlier phone."""
-    unique = F.array_distinct(phones)
-    return F.filter(unique, lambda phone, i: ~(
-        F.exists(others, lambda e: F.contains(e["text"], phone))
-        | F.exists(F.slice(unique, F.lit(1), i), lambda earlier: F.contains(earlier, phone))))
+# Phones not contained in another entity's text or in an earlier phone.
+_NEW_PHONES = """filter(array_distinct(_phones), (phone, i) -> NOT (
+  exists(_others, e -> contains(e.text, phone))
+  OR exists(slice(array_distinct(_phones), 1, i), earlier -> contains(earlier, phone))))"""
 
 
-def detect_pii(df: DataFrame, text_col: str) -> DataFrame:
+def detect_pii(df: DataFrame, text_col: str, phone_pattern: str | None = None) -> DataFrame:
     """Add ``pii`` and ``data_leakage_severity``.
 
     A pattern is searched only in texts with the characters it must contain.
+    ``phone_pattern`` replaces the phone pattern, which misses extensions and
+    some international groupings; it is searched in every text.
     """
     text = F.col("_pii_text")
-    none = F.array().cast("array<string>")
     df = df.withColumn("_pii_text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({"_has_digits": matches(text, _NINE_DIGITS), "_has_mail": F.contains(text, F.lit("@")),
                          "_has_key": text.rlike(_KEY_BODY)})
 
-    def found(guard: str, pattern: str, starts: str | None = None, ignore_case: bool = False) -> Column:
-        return F.when(F.col(guard), find_all(text, pattern, ignore_case, starts)).otherwise(none)
+    def found(guard: str, pattern: str, starts: str | None = None, ignore_case: bool = False) -> str:
+        return f"CASE WHEN {guard} THEN {find_all('_pii_text', pattern, ignore_case, starts)} ELSE CAST(array() AS ARRAY<STRING>) END"
 
+    phones = (found("true", phone_pattern) if phone_pattern else
+              found("_has_digits", fixed.PHONE_PATTERN, r"\d+("))
     df = df.withColumns({
-        "_emails": found("_has_mail", fixed.EMAIL_PATTERN),
-        "_keys": found("_has_key", fixed.API_KEY_PATTERN, ignore_case=True),
-        "_ids": found("_has_digits", fixed.GOVERNMENT_ID_PATTERN, r"\d"),
-        "_cards": F.filter(found("_has_digits", fixed.CREDIT_CARD_PATTERN, r"\d"), valid_card),
-        "_phones": found("_has_digits", fixed.PHONE_PATTERN, r"\d+("),
+        "_emails": F.expr(found("_has_mail", fixed.EMAIL_PATTERN)),
+        "_keys": F.expr(found("_has_key", fixed.API_KEY_PATTERN, ignore_case=True)),
+        "_ids": F.expr(found("_has_digits", fixed.GOVERNMENT_ID_PATTERN, r"\d")),
+        "_cards": F.filter(F.expr(found("_has_digits", fixed.CREDIT_CARD_PATTERN, r"\d")), valid_card),
+        "_phones": F.expr(phones),
     })
-    others = F.concat(_entities(F.col("_emails"), "EMAIL"), _entities(F.col("_keys"), "API_KEY"),
-                      _entities(F.col("_ids"), "GOVERNMENT_ID"), _entities(F.col("_cards"), "CREDIT_CARD"))
-    df = df.withColumn("_others", F.when(
-        F.col("_has_mail") | F.col("_has_key") | F.col("_has_digits"), others).otherwise(F.array().cast(_ENTITIES)))
-    df = settle(df, {"pii": F.when(F.size("_phones") == 0, F.col("_others")).otherwise(F.concat(
-        F.col("_others"), _entities(_distinct_phones(F.col("_phones"), F.col("_others")), "PHONE")))})
+    others = ", ".join([_entities("_emails", "EMAIL"), _entities("_keys", "API_KEY"),
+                        _entities("_ids", "GOVERNMENT_ID"), _entities("_cards", "CREDIT_CARD")])
+    df = df.withColumn("_others", F.expr(
+        f"CASE WHEN _has_mail OR _has_key OR _has_digits THEN concat({others}) ELSE CAST(array() AS {_ENTITIES}) END"))
+    df = settle(df, {"pii": F.expr(
+        f"CASE WHEN size(_phones) = 0 THEN _others ELSE concat(_others, {_entities(_NEW_PHONES, 'PHONE')}) END")})
     return df.withColumn("data_leakage_severity", pii_severity(F.col("pii"))).drop(
         "_pii_text", "_has_digits", "_has_mail", "_has_key", "_emails", "_keys", "_ids", "_cards", "_phones", "_others")
 

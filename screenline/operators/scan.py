@@ -57,13 +57,15 @@ def all_threats() -> Column:
 
 def scan_batch(df: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt", ts_col: str = "event_ts",
                source: str = "prompts", scorer: str | Transformer | None = "keyword", pack=BUILTIN,
-               redact_on: str = "original", ids: str = "stable", leak_flag: bool = False) -> DataFrame:
+               redact_on: str = "original", ids: str = "stable", leak_flag: bool = False,
+               allow_max: int = fixed.ALLOW_MAX, sanitize_max: int = fixed.SANITIZE_MAX) -> DataFrame:
     """Screen every row; returns the scan schema (see ``schema.SCAN``).
 
     ``redact_on='normalized'`` redacts the text the entities were found in, so
     none can survive because normalisation changed it; the default redacts the
     original. ``leak_flag`` adds ``residual_leak``: an entity text is still in
     the redacted text. ``ids='random'`` draws ids instead of deriving them.
+    ``allow_max`` and ``sanitize_max`` are the upper ends of the two lower bands.
     """
     if redact_on not in ("original", "normalized"):
         raise ValueError("redact_on must be 'original' or 'normalized'")
@@ -72,7 +74,7 @@ def scan_batch(df: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt
     found = detect_all(normalize(base, "original_prompt", "_normal"), "_normal", scorer, pack, tidied=True)
     scored = found.withColumn("risk_score", risk_score(
         F.col("intent_confidence"), F.col("data_leakage_severity"), F.col("rule_score"))
-    ).withColumn("decision", decision(F.col("risk_score")))
+    ).withColumn("decision", decision(F.col("risk_score"), allow_max, sanitize_max))
     target = F.col("original_prompt") if redact_on == "original" else F.col("_normal")
     redacted = F.when(
         (F.col("decision") == fixed.SANITIZE) & (F.size("pii") > 0), sanitize(target, F.col("pii")))

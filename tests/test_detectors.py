@@ -151,6 +151,13 @@ def test_entities_equal_brute_force(spark):
     assert not bad, bad[:3]
 
 
+def test_wider_phone_pattern(spark):
+    df = _frame(spark, ["call 311.279.8843x81667 now"])
+    assert detect_pii(df, "s").first()["pii"] == []
+    wide = detect_pii(df, "s", phone_pattern=fixed.PHONE_PATTERN.removesuffix(r"\b") + r"(?:x\d+)?\b")
+    assert [e["text"] for e in wide.first()["pii"]] == ["311.279.8843x81667"]
+
+
 def test_severity_compounds(spark):
     texts = ["none", "a@b.co", "a@b.co c@d.co", "a@b.co 284-56-7891", " ".join(f"u{i}@b.co" for i in range(30))]
     got = {r["i"]: r["data_leakage_severity"] for r in detect_pii(_frame(spark, texts), "s").collect()}

@@ -47,6 +47,12 @@ def test_worked_examples(spark):
         assert len(row["scan_id"]) == 36
 
 
+def test_band_limits_are_options(spark):
+    df = _prompts(spark, ["My email is abc@gmail.com"])
+    assert scan_batch(df, allow_max=7, sanitize_max=8).first()["sanitized_prompt"] == "My email is [EMAIL_REDACTED]"
+    assert scan_batch(df, allow_max=6, sanitize_max=7).first()["decision"] == "BLOCK"
+
+
 def test_ids_are_repeatable_or_random(spark):
     df = _prompts(spark, ["a", "b"])
     ids = [sorted(r[0] for r in scan_batch(df, ids=kind).select("scan_id").collect()) for kind in ("stable", "stable", "random")]
