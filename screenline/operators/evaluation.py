@@ -44,45 +44,53 @@ def _counts(df: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFram
     return df.groupBy(*by).agg(*parts)
 
 
+def _measured(df: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per group with precision, recall and F1 of each label."""
+    n = range(len(labels))
+    row = _counts(df, labels, by).withColumns({
+        **{f"_p{i}": _zero(F.col(f"_tp{i}"), F.col(f"_pred{i}")) for i in n},
+        **{f"_r{i}": _zero(F.col(f"_tp{i}"), F.col(f"_true{i}")) for i in n}})
+    return row.withColumns({f"_f{i}": _zero(2 * F.col(f"_p{i}") * F.col(f"_r{i}"), F.col(f"_p{i}") + F.col(f"_r{i}"))
+                            for i in n})
+
+
+_LETTER = {"precision": "p", "recall": "r", "f1": "f"}
+
+
+def _averages(labels: Sequence[str]) -> dict[str, Column]:
+    n = range(len(labels))
+    support = sum((F.col(f"_true{i}") for i in n), F.lit(0))
+    return {
+        "accuracy": _zero(F.col("_right"), F.col("_n")),
+        **{f"{m}_macro": sum((F.col(f"_{k}{i}") for i in n), F.lit(0.0)) / len(labels) for m, k in _LETTER.items()},
+        **{f"{m}_weighted": _zero(sum((F.col(f"_{k}{i}") * F.col(f"_true{i}") for i in n), F.lit(0.0)), support)
+           for m, k in _LETTER.items()},
+        "n": F.col("_n"),
+    }
+
+
 def class_metrics(df: DataFrame, labels: Sequence[str] = LABELS, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per label; 0 where undefined."""
     rows = F.array(*[F.struct(
-        F.lit(name).alias("label"), F.col(f"_tp{i}").alias("tp"), F.col(f"_true{i}").alias("support"),
-        F.col(f"_pred{i}").alias("predicted")) for i, name in enumerate(labels)])
-    flat = _counts(df, labels, by).select(*by, "_n", "_right", F.explode(rows).alias("_r")).select(
-        *by, "_n", "_right", "_r.*")
-    precision, recall = _zero(F.col("tp"), F.col("predicted")), _zero(F.col("tp"), F.col("support"))
-    return flat.withColumns({"precision": precision, "recall": recall}).select(
-        *by, "label", "precision", "recall",
-        _zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"),
-        "support", F.col("_n").alias("n"), F.col("_right").alias("right"))
+        F.lit(name).alias("label"), *[F.col(f"_{k}{i}").alias(m) for m, k in _LETTER.items()],
+        F.col(f"_true{i}").alias("support")) for i, name in enumerate(labels)])
+    return _measured(df, labels, by).select(*by, F.inline(rows))
 
 
 def overall_metrics(df: DataFrame, labels: Sequence[str] = LABELS, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, macro averages and support-weighted averages."""
-    per_class = class_metrics(df, labels, by)
-    support = F.sum("support")
-
-    def weighted(name: str) -> Column:
-        return _zero(F.sum(F.col(name) * F.col("support")), support)
-
-    return per_class.groupBy(*by).agg(
-        _zero(F.max("right"), F.max("n")).alias("accuracy"),
-        *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")],
-        *[weighted(m).alias(f"{m}_weighted") for m in ("precision", "recall", "f1")],
-        F.max("n").alias("n"))
+    return _measured(df, labels, by).select(*by, *[c.alias(name) for name, c in _averages(labels).items()])
 
 
 def metrics_table(df: DataFrame, model: str, labels: Sequence[str] = LABELS) -> DataFrame:
-    """All metrics of one model as (model, label, metric, value)."""
-    def long(wide: DataFrame, label: Column, names: Sequence[str]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-        return wide.select(F.lit(model).alias("model"), label.alias("label"), F.explode(pairs).alias("_p")).select(
-            "model", "label", "_p.metric", "_p.value")
-
-    return long(overall_metrics(df, labels), F.lit(_OVERALL),
-                ["accuracy", "precision_macro", "recall_macro", "f1_macro", "n"]).unionByName(
-        long(class_metrics(df, labels), F.col("label"), ["precision", "recall", "f1", "support"]))
+    """All metrics of one model as (model, label, metric, value), in one pass."""
+    averages = _averages(labels)
+    values = [(_OVERALL, m, averages[m]) for m in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "n")]
+    for i, name in enumerate(labels):
+        values += [(name, m, F.col(f"_{k}{i}")) for m, k in _LETTER.items()] + [(name, "support", F.col(f"_true{i}"))]
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+                     for label, metric, value in values])
+    return _measured(df, labels, []).select(F.lit(model).alias("model"), F.inline(rows))
 
 
 def compare_models(predictions: DataFrame, baselines: Sequence[str], labels: Sequence[str] = LABELS) -> DataFrame:
@@ -128,11 +136,9 @@ def detection_rates(df: DataFrame, targets: Sequence[tuple] = tuple(fixed.QUALIT
 
 def metrics_json(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """The metrics as one nested JSON text: overall values and a map per class."""
-    per_class = class_metrics(df, labels)
-    overall = per_class.agg(
-        _zero(F.max("right"), F.max("n")).alias("accuracy"),
-        *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")],
-        F.map_from_entries(F.collect_list(F.struct(
-            F.col("label"), F.struct("precision", "recall", "f1", "support")))).alias("per_class"),
-        F.max("n").alias("n_test_examples"))
-    return overall.select(F.to_json(F.struct("*")).alias("metrics"))
+    averages = _averages(labels)
+    per_class = F.create_map(*[part for i, name in enumerate(labels) for part in (F.lit(name), F.struct(
+        *[F.col(f"_{k}{i}").alias(m) for m, k in _LETTER.items()], F.col(f"_true{i}").alias("support")))])
+    nested = F.struct(*[averages[m].alias(m) for m in ("accuracy", "precision_macro", "recall_macro", "f1_macro")],
+                      per_class.alias("per_class"), F.col("_n").alias("n_test_examples"))
+    return _measured(df, labels, []).select(F.to_json(nested).alias("metrics"))

@@ -68,8 +68,11 @@ def sample_n(df: DataFrame, n: int, seed: int | str, keys: Sequence[str]) -> Dat
 
 
 def stratified_split(df: DataFrame, shares: dict[str, float], seed: int | str, keys: Sequence[str],
-                     label: str = "label") -> DataFrame:
-    """Add ``split``; each label is divided in the given shares, to the row."""
+                     label: str = "label", few_labels: bool = True) -> DataFrame:
+    """Add ``split``; each label is divided in the given shares, to the row.
+
+    ``few_labels`` as ``few_groups`` of ``cut_by_hash``.
+    """
     names = list(shares)
     edges, total = [], 0
     for name in names[:-1]:
@@ -81,5 +84,5 @@ def stratified_split(df: DataFrame, shares: dict[str, float], seed: int | str, k
     def cuts(size: Column) -> list[Column]:
         return [F.floor((size * e + 500) / 1000) for e in edges]
 
-    cut = cut_by_hash(df, hash_order(seed, *keys), cuts, by=[label], ties=keys)
+    cut = cut_by_hash(df, hash_order(seed, *keys), cuts, by=[label], ties=keys, few_groups=few_labels)
     return cut.withColumn("split", F.element_at(F.array(*[F.lit(s) for s in names]), F.col("slot") + 1)).drop("slot")
