@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm import licences, mixing, packing, quality, secrets, tokens
+from screenline.llm import licences, mixing, neardup, packing, quality, secrets, tokens
 from screenline.sources.tables import read_table
 
 TOKEN_LIMIT = 4096
@@ -50,6 +50,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate whole texts."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of whole texts."""
     found = licences.find_licences(read_table(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op4_secrets, op5_packing, op7_quality, op10_licences)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op4_secrets, op5_packing, op7_quality, op9_near_duplicates, op10_licences)
 }
 
 ORACLE: dict[str, str] = {}
