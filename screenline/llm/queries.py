@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm import licences, mixing, neardup, packing, quality, secrets, tokens
+from screenline.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, tokens, toxicity
 from screenline.sources.tables import read_table
 
 TOKEN_LIMIT = 4096
@@ -43,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector, among all others."""
+    found = neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and risk-controlled cutoffs per language."""
     judged = quality.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -50,6 +56,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of whole texts; flagged goes by the language's threshold, predicted by 0.7."""
+    found = toxicity.detect_toxic(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", toxicity.is_held_out().alias("held_out"), F.col("toxic_score").alias("score"),
+                        (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), "flagged", "threshold")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate whole texts."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -62,7 +75,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op4_secrets, op5_packing, op7_quality, op9_near_duplicates, op10_licences)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences)
 }
 
 ORACLE: dict[str, str] = {}
