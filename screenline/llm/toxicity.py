@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenline.llm.texts import Words, chunks, random_words, text_bytes
 from screenline.session import work_dir
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and `toxic_score`, from the whole text alone. Null and empty texts get the score of no words."""
     scorer = network.scorer()
-    schema = docs.schema.add("toxic_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
