@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, tokens, toxicity
+from screenline.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, suffixes, tokens, toxicity
 from screenline.sources.tables import read_table
 
 TOKEN_LIMIT = 4096
@@ -25,6 +25,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole texts that earlier strings of 100 bytes cover."""
+    found = suffixes.drop_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of whole texts, by kind, with digests of their places."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -75,7 +83,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_repeats, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences)
 }
 
 ORACLE: dict[str, str] = {}
