@@ -261,7 +261,9 @@ def _runs_of(some: pa.RecordBatch, parts: int) -> list[tuple]:
         some.column("places").to_pylist(), strict=True)]
     docs.sort(key=lambda d: d[:2])  # so that the first seen is the first
     for doc, row, text, pieces in docs:
-        for place in np.sort(np.frombuffer(b"".join(pieces), "<i8")).tolist():
+        marked = np.frombuffer(b"".join(pieces), "<i8")
+        marked = marked[np.argsort(np.where(marked < 0, -1 - marked, marked))]  # from the first place on
+        for place in marked.tolist():
             is_hot = place < 0
             place = -1 - place if is_hot else place
             low, high = _windows(place, len(text))
