@@ -130,19 +130,19 @@ def components(edges: DataFrame, keep) -> DataFrame:
     Joins carry single edges, never a node's list of neighbours.
     """
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = keep(large.union(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct())
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = keep(large.union(least.filter("m < a").select("a", F.col("m").alias("b"))))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        # stars: nothing that moved to a root is moved to by others, and it moved to one root only
+        tops = now.select(F.col("b").alias("a")).distinct().withColumn("top", F.lit(True))
+        bad = now.groupBy("a").agg(F.count("*").alias("n")).join(tops, "a", "left").filter("n > 1 or top")
+        if not bad.limit(1).count():
             break
-        mark = seen
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
@@ -164,15 +164,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     """row, doc_id, n_shingles and first (doc_id and row of the component's first row) of source (row, doc_id, text)."""
     rows = keep(source.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, key binary, bands array<long>"))
-    classes = rows.filter("n_shingles > 0").groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = keep(rows.filter("n_shingles > 0").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("bands").alias("bands")))
     members = classes.select("key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = keep(members.join(shared, "bucket"))
-
     centre = members.groupBy("key").agg(F.sum(F.log2("size")).alias("weight"))
-    members = keep(members.select("key", "bucket").join(centre, "key"))
-    pivots = keep(members.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("pivot")))
+    pivots = keep(members.join(centre, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("pivot")))
+    members = members.select("key", "bucket")
     wanted = members.select(F.col("key").alias("want")).distinct().join(
         classes.select(F.col("key").alias("want"), F.col("rep.row").alias("row")), "want")
     texts = source.select("row", "text").join(wanted, "row").select("want", "text")
@@ -181,9 +180,8 @@ def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     def linked(tested: DataFrame) -> DataFrame:
         return tested.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def still_open(roots: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with their component."""
-        roots = components(links, keep).withColumnsRenamed({"node": "key"})
         with_root = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = with_root.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
         return keep(with_root.join(open_.select("bucket"), "bucket", "left_semi"))
@@ -195,8 +193,10 @@ def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
                             (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
     links = linked(tested)
     # 2. the most central of each open bucket, and the central classes of one bucket with each other
-    rest = labelled(links)
-    centres = rest.join(pivots, "bucket")
+    # the central class of a class, or that one's, will do for a component here: it only decides what is compared now
+    hop = links.select(F.col("a").alias("key"), F.col("b").alias("root"))
+    onward = hop.select(F.col("key").alias("root"), F.col("root").alias("next"))
+    centres = still_open(hop.join(onward, "root", "left").select("key", F.coalesce("next", "root").alias("root"))).join(pivots, "bucket")
     own = centres.filter("key <> pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))
     other = (centres.join(anchors.select("key", "anchor"), "key").filter("anchor <> pivot.key")
              .select(F.col("anchor").alias("a"), F.col("pivot.key").alias("b")))
@@ -205,13 +205,14 @@ def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     more = keep(_verified(pairs.join(done, ["a", "b"], "left_anti"), sets))
     links = links.union(linked(more))
     # 3. what the bounds leave of the other pairs
-    rest = labelled(links)
+    roots = keep(components(links, keep).withColumnsRenamed({"node": "key"}))
+    rest = still_open(roots)
     apart = tested.union(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
                                       (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("gap")).distinct()
     left = _left_over(rest, sets, anchors, apart, percent, keep)
-    links = links.union(linked(keep(_verified(left.join(apart, ["a", "b"], "left_anti"), sets))))
-
-    roots = components(links, keep).withColumnsRenamed({"node": "key"})
+    late = linked(keep(_verified(left.join(apart, ["a", "b"], "left_anti"), sets)))
+    if late.limit(1).count():
+        roots = components(links.union(late), keep).withColumnsRenamed({"node": "key"})
     reps = classes.select("key", "rep")
     named = keep(reps.join(roots, "key").select("key", "root", "rep"))
     ids = named.groupBy("root").agg(F.min("rep").alias("least"))
