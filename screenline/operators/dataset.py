@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +26,8 @@ def pick_template(templates: Sequence[str], *key: Column) -> Column:
 
 
 def expand_templates(topics: DataFrame, templates: Sequence[str] = tuple(fixed.TOPIC_TEMPLATES),
-                     n: int | None = fixed.EXPANDED_ROWS, seed: int = fixed.SEED + 1, topic: str = "topic") -> DataFrame:
-    """Every template with every topic, ``n`` of them in hash order.
+                     n: int | None = None, seed: int = fixed.SEED + 1, topic: str = "topic") -> DataFrame:
+    """Every template with every topic, or ``n`` of them in hash order.
 
     The templates are an array exploded next to each topic row, so the topic
     table is read once and never joined.
@@ -39,7 +39,7 @@ def expand_templates(topics: DataFrame, templates: Sequence[str] = tuple(fixed.T
 
 
 def fill_from_table(identities: DataFrame, templates: Sequence[str] = tuple(fixed.IDENTITY_TEMPLATES),
-                    n: int | None = fixed.FILLED_ROWS, seed: int = fixed.SEED, key: str = "key",
+                    n: int | None = None, seed: int = fixed.SEED, key: str = "key",
                     fields: Sequence[str] = tuple(fixed.IDENTITY_FIELDS)) -> DataFrame:
     """One filled template per identity, in rounds until ``n`` rows.
 
@@ -54,15 +54,22 @@ def fill_from_table(identities: DataFrame, templates: Sequence[str] = tuple(fixe
     return filled if n is None else filled.orderBy("round_no", "key").limit(n)
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def dedup_first(df: DataFrame) -> DataFrame:
     """One row per text: that of the earliest source, then position.
 
-    A minimum merges map-side, so a text that makes up a third of all rows
-    reaches the reducer as one row per task; a window would sort all of them.
+    Texts are compared by digest, and rank and position are one number, so the
+    minimum runs as a hash aggregation on short rows and merges map-side: a text
+    that makes up a third of all rows is one row per task. The rows that won are
+    fetched by digest, rank and position, which names a row of a source.
     """
-    first = F.min(F.struct("source_rank", "pos", "label", "source"))
-    return df.groupBy("text").agg(first.alias("_f")).select(
-        "text", "_f.label", "_f.source", "_f.source_rank", "_f.pos")
+    place = F.expr("CAST(source_rank AS DECIMAL(10,0)) * CAST('18446744073709551616' AS DECIMAL(20,0)) + CAST(pos AS DECIMAL(20,0))")
+    rows = df.withColumns({"_digest": _digest(), "_place": place.cast("decimal(38,0)")})
+    first = rows.groupBy("_digest").agg(F.min("_place").alias("_place"))
+    return rows.join(first, ["_digest", "_place"], "left_semi").select("text", "label", "source", "source_rank", "pos")
 
 
 def union_sources(spark: SparkSession, specs: Sequence[SourceSpec]) -> DataFrame:
@@ -84,29 +91,27 @@ def everyday_rows(spark: SparkSession, rank: int) -> DataFrame:
 
 
 def build_dataset(spark: SparkSession, corpora: Sequence[SourceSpec], identities: DataFrame | None = None,
-                  topics: DataFrame | None = None) -> DataFrame:
-    """Corpora in order, then everyday prompts, filled identities, topics."""
+                  topics: DataFrame | None = None, identity_rows: int | None = None, topic_rows: int | None = None) -> DataFrame:
+    """Corpora in order, then everyday prompts, filled identities, topics; all of them unless a number of rows is given."""
     rank = len(corpora)
     rows = union_sources(spark, corpora).unionByName(everyday_rows(spark, rank))
     if identities is not None:
-        filled = fill_from_table(identities)
+        filled = fill_from_table(identities, n=identity_rows)
         rows = rows.unionByName(as_labelled(
             filled, F.lit(fixed.NORMAL), "identities", rank + 1, F.xxhash64("round_no", "key")))
     if topics is None:
         topics = spark.createDataFrame([(t,) for t in fixed.TOPICS], "topic string")
-    expanded = expand_templates(topics)
+    expanded = expand_templates(topics, n=topic_rows)
     rows = rows.unionByName(as_labelled(
         expanded, F.lit(fixed.NORMAL), "topics", rank + 2, F.xxhash64("topic", "template_no")))
     return finish_dataset(rows)
 
 
-def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows per stage, one row each."""
-    out = None
-    for name, df in stages.items():
-        row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+def stage_counts(rows: DataFrame, min_length: int = fixed.MIN_TEXT_LENGTH) -> DataFrame:
+    """Rows before and after ``finish_dataset``, from one aggregation by digest."""
+    copies = rows.groupBy(_digest().alias("_digest")).agg(F.count("*").alias("copies"), F.min(F.length("text")).alias("size"))
+    both = copies.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("before"), F.count_if(F.col("size") >= min_length).alias("after"))
+    return both.select(F.expr("stack(2, 'before', before, 'after', after) AS (stage, n_rows)"))
 
 
 def class_counts(df: DataFrame) -> DataFrame:

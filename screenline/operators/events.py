@@ -9,13 +9,13 @@ from screenline import fixed
 
 
 def _recent_days(events: DataFrame, n: int) -> DataFrame:
-    """Only the newest days that together hold ``n`` events.
+    """Only the newest days that together hold ``n`` events; all events if no days do.
 
     Every task of a top-n hands n rows to one merging task, so on a log of many
     files the days that cannot matter are pruned first. One count per day comes
     back to the driver.
     """
-    days = events.groupBy("event_date").count().orderBy(F.desc("event_date"))
+    days = events.filter("event_date is not null").groupBy("event_date").count().orderBy(F.desc("event_date"))
     held = 0
     for row in days.toLocalIterator():
         held += row["count"]

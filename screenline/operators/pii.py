@@ -22,10 +22,12 @@ def _entities(texts: str, kind: str) -> str:
             f"'severity', {fixed.SEVERITY_BY_KIND[kind]}))")
 
 
-# Phones not contained in another entity's text or in an earlier phone.
-_NEW_PHONES = """filter(array_distinct(_phones), (phone, i) -> NOT (
+# Phones not contained in another entity's text or in an earlier phone. Only a longer one can hold another distinct one.
+_NEW_PHONES = """filter(_phones, (phone, i) -> NOT (
   exists(_others, e -> contains(e.text, phone))
-  OR exists(slice(array_distinct(_phones), 1, i), earlier -> contains(earlier, phone))))"""
+  OR exists(filter(_longer, l -> l.place < i AND length(l.phone) > length(phone)), l -> contains(l.phone, phone))))"""
+# The longer phones of a text: without any of different length there is nothing to compare.
+_LONGER = """filter(transform(_phones, (p, i) -> named_struct('phone', p, 'place', i)), x -> length(x.phone) > _shortest)"""
 
 
 def detect_pii(df: DataFrame, text_col: str, phone_pattern: str | None = None) -> DataFrame:
@@ -50,8 +52,10 @@ def detect_pii(df: DataFrame, text_col: str, phone_pattern: str | None = None) -
         "_keys": F.expr(found("_has_key", fixed.API_KEY_PATTERN, ignore_case=True)),
         "_ids": F.expr(found("_has_digits", fixed.GOVERNMENT_ID_PATTERN, r"\d")),
         "_cards": F.filter(F.expr(found("_has_digits", fixed.CREDIT_CARD_PATTERN, r"\d")), valid_card),
-        "_phones": F.expr(phones),
+        "_phones": F.array_distinct(F.expr(phones)),
     })
+    df = settle(df, {"_phones": F.col("_phones")}).withColumn("_shortest", F.array_min(F.transform("_phones", F.length)))
+    df = df.withColumn("_longer", F.expr(_LONGER))
     others = ", ".join([_entities("_emails", "EMAIL"), _entities("_keys", "API_KEY"),
                         _entities("_ids", "GOVERNMENT_ID"), _entities("_cards", "CREDIT_CARD")])
     df = df.withColumn("_others", F.expr(
@@ -59,7 +63,7 @@ def detect_pii(df: DataFrame, text_col: str, phone_pattern: str | None = None) -
     df = settle(df, {"pii": F.expr(
         f"CASE WHEN size(_phones) = 0 THEN _others ELSE concat(_others, {_entities(_NEW_PHONES, 'PHONE')}) END")})
     return df.withColumn("data_leakage_severity", pii_severity(F.col("pii"))).drop(
-        "_pii_text", "_has_digits", "_has_mail", "_has_key", "_emails", "_keys", "_ids", "_cards", "_phones", "_others")
+        "_pii_text", "_has_digits", "_has_mail", "_has_key", "_emails", "_keys", "_ids", "_cards", "_phones", "_shortest", "_longer", "_others")
 
 
 def _compound(worst: Column, n: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ _NEEDED = {
 }
 _MASK_BITS = 60
 _SIGNALS = "ARRAY<STRUCT<type: STRING, message: STRING, severity: INT, confidence: DOUBLE>>"
-MAX_UNROLLED = 600
+_PASS_RULES = 240  # rules tried in one pass over the texts; larger packs take several passes
 
 
 @dataclass(frozen=True)
@@ -141,32 +142,33 @@ def rules_on(df: DataFrame, low: str, pack: Sequence[Rule] = BUILTIN) -> DataFra
     }).drop(*masks)
 
 
-def load_pack(rules_df: DataFrame, limit: int = MAX_UNROLLED) -> tuple[Rule, ...] | None:
-    """A rule table as a pack, or null if it has more rows than ``limit``."""
-    rows = rules_df.select("name", "pattern", "threat", "severity", "message").limit(limit + 1).collect()
-    return None if len(rows) > limit else tuple(Rule(*row) for row in rows)
+def load_pack(rules_df: DataFrame) -> tuple[Rule, ...]:
+    """A rule table as a pack: a row per rule, not per text, so it comes to the driver."""
+    return tuple(Rule(*row) for row in rules_df.select("name", "pattern", "threat", "severity", "message").collect())
 
 
 def rule_hits(df: DataFrame, text_col: str, rules: DataFrame | Sequence[Rule] = BUILTIN) -> DataFrame:
-    """One row per text and matching rule, for any rule pack.
+    """One row per text and matching rule, for rule packs of any size.
 
-    A pack of ordinary size becomes literal patterns, compiled once per task
-    and tried in one pass. A larger one is joined to the texts as a table.
+    Rules become literal patterns, compiled once per task. A large pack is tried
+    in several passes, all with the same forms of the patterns.
     """
     pack = load_pack(rules) if isinstance(rules, DataFrame) else tuple(rules)
-    out = ["name", "threat", "severity", "message"]
-    keep = [F.col(c) for c in df.columns]
-    df = detector_text(df, text_col, "_low")
-    if pack is None:
-        return (df.withColumn("_low", _caseless(F.col("_low")))
-                .join(rules, F.expr("rlike(_low, pattern)")).select(*keep, *out))
     if not pack:
-        return df.select(*keep, *[F.lit(None).alias(c) for c in out]).limit(0)
-    df, bits, _ = _masks(df, "_low", pack)
+        out = ["name", "threat", "severity", "message"]
+        return df.select("*", *[F.lit(None).cast("int" if c == "severity" else "string").alias(c) for c in out]).limit(0)
+    passes = [_hits_of(df, text_col, pack[i:i + _PASS_RULES]) for i in range(0, len(pack), _PASS_RULES)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _hits_of(df: DataFrame, text_col: str, pack: Sequence[Rule]) -> DataFrame:
+    keep = [F.col(c) for c in df.columns]
+    df, bits, _ = _masks(detector_text(df, text_col, "_low"), "_low", pack)
     hits = _gather(bits, [
         f"named_struct('name', {quoted(r.name)}, 'threat', {quoted(r.threat)}, 'severity', {r.severity}, "
         f"'message', {quoted(r.message)})" for r in pack])
-    return df.select(*keep, F.expr(f"explode({hits})").alias("_hit")).select(*keep, *[F.col(f"_hit.{c}") for c in out])
+    return df.select(*keep, F.expr(f"explode({hits})").alias("_hit")).select(
+        *keep, *[F.col(f"_hit.{c}") for c in ("name", "threat", "severity", "message")])
 
 
 def rule_hit_counts(df: DataFrame, text_col: str, by: Sequence[str] = (), pack: Sequence[Rule] = BUILTIN,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from screenline.functions.values import assign_round_robin, lookup
 from screenline.operators.intent import keyword_intent
 from screenline.operators.rules import detect_rules
 from screenline.operators.scan import scan_batch
+from screenline.session import work_dir
+from screenline.sources.event_log import append_events, read_events
 from screenline.sources.tables import read_table, spread
 
 
@@ -26,10 +30,15 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("text"), F.lit(" "), phrase).alias("prompt"))
 
 
+#: First second and number of seconds of the times below, and the last digit of numbers without one.
+FIRST_SECOND, SECONDS, TIMELESS = 1_704_067_200, 30 * 86_400, 3
+
+
 def timed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with the time of the event of the same number."""
-    times = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("prompt_id"), F.col("ts").alias("event_ts"))
-    return prompts(spark, sf_dir).join(times, "prompt_id")
+    """Prompts with a time made from their number; one in ten has none."""
+    number = F.col("prompt_id")
+    time = F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(number * 7919, F.lit(SECONDS)))
+    return prompts(spark, sf_dir).withColumn("event_ts", F.when(F.pmod(number, F.lit(10)) != TIMELESS, time))
 
 
 def scanned(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -42,6 +51,13 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_batch(timed_prompts(spark, sf_dir))
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events, written to a log and read from there."""
+    log = work_dir(spark, "stored-log")
+    append_events(scan_events(spark, sf_dir), log)
+    return read_events(spark, log)
+
+
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One made-up identity per customer, every field from its columns."""
     key = F.col("c_custkey")
@@ -75,15 +91,20 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "doc_id", "text").join(classes, "doc_id").withColumnRenamed("doc_id", "id")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True class and the class two detectors give, one row per model and text."""
+def predictions(spark: SparkSession, sf_dir: str, models: Sequence[str] = ("phrases", "rules")) -> DataFrame:
+    """True class and the class the named detectors give, one row per model and labelled text."""
     label = (F.when(F.col("toxic") == 1, F.lit(fixed.PROMPT_INJECTION))
              .when(F.col("quality") == 0, F.lit(fixed.JAILBREAK)).otherwise(F.lit(fixed.NORMAL)))
-    truth = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), label.alias("y_true"))
-    found = keyword_intent(detect_rules(prompts(spark, sf_dir), "prompt"), "prompt")
-    by_rule = F.filter("rule_threats", lambda t: t.isin(fixed.LABELS))
-    guesses = found.select(F.col("prompt_id").alias("id"), F.explode(F.array(
-        F.struct(F.lit("phrases").alias("model"), F.coalesce("intent_label", F.lit(fixed.NORMAL)).alias("y_pred")),
-        F.struct(F.lit("rules").alias("model"), F.coalesce(F.get(by_rule, F.lit(0)), F.lit(fixed.NORMAL)).alias("y_pred")),
-    )).alias("_g")).select("id", "_g.model", "_g.y_pred")
-    return guesses.join(truth, "id")
+    truth = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("prompt_id"), label.alias("y_true"))
+    # labels first: detectors run on labelled texts alone, and only those of the models asked for
+    found = prompts(spark, sf_dir).join(truth, "prompt_id")
+    guesses = []
+    if "phrases" in models:
+        found = keyword_intent(found, "prompt")
+        guesses.append(F.struct(F.lit("phrases").alias("model"), F.coalesce("intent_label", F.lit(fixed.NORMAL)).alias("y_pred")))
+    if "rules" in models:
+        found = detect_rules(found, "prompt")
+        by_rule = F.filter("rule_threats", lambda t: t.isin(fixed.LABELS))
+        guesses.append(F.struct(F.lit("rules").alias("model"), F.coalesce(F.get(by_rule, F.lit(0)), F.lit(fixed.NORMAL)).alias("y_pred")))
+    return found.select(F.col("prompt_id").alias("id"), "y_true", F.explode(F.array(*guesses)).alias("_g")).select(
+        "id", "_g.model", "_g.y_pred", "y_true")

@@ -10,6 +10,7 @@ which leaves digits and separators, the only things those patterns take, alone.
 from __future__ import annotations
 
 from screenline import fixed
+from screenline.plans.inputs import FIRST_SECOND, SECONDS, TIMELESS
 from screenline.plans.queries import USER_RULES
 
 
@@ -142,8 +143,8 @@ signal_rows AS (
   UNION ALL SELECT prompt_id, 200, 'PII', len(pii) || ' PII entity/entities detected', data_leakage_severity, NULL
     FROM scan WHERE len(pii) > 0),
 events_scanned AS (
-  SELECT s.*, date_trunc('second', e.ts) AS at_time, strftime(date_trunc('second', e.ts), '%Y-%m-%dT%H:%M:%S') AS timestamp
-  FROM scan s JOIN events e ON e.event_id = s.prompt_id)
+  SELECT *, strftime(at_time, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM (SELECT *, CASE WHEN prompt_id % 10 <> {TIMELESS}
+    THEN make_timestamp(({FIRST_SECOND} + prompt_id * 7919 % {SECONDS}) * 1000000) END AS at_time FROM scan))
 """
 
 RULES_ONLY = f"WITH {PROMPTS}, {RULES} "
@@ -186,16 +187,13 @@ FILLED = f"filled AS (SELECT 0 AS round_no, key, {_tidy(_fill(_pick(fixed.IDENTI
 CORPORA = f"""
 two_label AS (SELECT 'two_label' AS source, 0 AS source_rank, doc_id AS pos, {_tidy('text')} AS text,
   CASE toxic WHEN 1 THEN 'PROMPT_INJECTION' ELSE 'NORMAL' END AS label FROM documents JOIN labels USING (doc_id)),
-wild_all AS (SELECT 'wild' AS source, 1 AS source_rank, doc_id AS pos, substr({_tidy('text')}, 1, {fixed.WILD_TEXT_CAP}) AS text,
-  'JAILBREAK' AS label FROM documents),
-wild AS (SELECT * FROM wild_all WHERE length(text) > 0
-  ORDER BY md5('{fixed.SEED}:wild:' || pos), pos LIMIT {fixed.WILD_SAMPLE}),
+wild AS (SELECT 'wild' AS source, 1 AS source_rank, doc_id AS pos, {_tidy('text')} AS text, 'JAILBREAK' AS label FROM documents
+  WHERE length({_tidy('text')}) > 0),
 turns AS (SELECT conv_id * 1000 + turn AS pos, role, {_tidy('text')} AS text FROM conversations),
 paired AS (SELECT 'paired_harmful' AS source, 2 AS source_rank, pos, text, 'JAILBREAK' AS label FROM turns WHERE role = 'assistant'
   UNION ALL SELECT 'paired_benign', 3, pos, text, 'NORMAL' FROM turns WHERE role = 'user'),
 instructions AS (SELECT 'instructions' AS source, 4 AS source_rank, item_id AS pos, {_tidy('text')} AS text,
-  'PROMPT_INJECTION' AS label FROM benchmark WHERE length({_tidy('text')}) > 0
-  ORDER BY md5('{fixed.SEED}:instructions:' || item_id), item_id LIMIT {fixed.ADVERSARIAL_SAMPLE}),
+  'PROMPT_INJECTION' AS label FROM benchmark WHERE length({_tidy('text')}) > 0),
 refusals AS (SELECT 'refusals' AS source, 5 AS source_rank, doc_id AS pos, {_tidy('text')} AS text, 'NORMAL' AS label
   FROM documents JOIN labels USING (doc_id) WHERE quality = 1)"""
 
@@ -274,7 +272,9 @@ ORACLE: dict[str, str] = {
         AS outcome, count(*) AS n_rows FROM turns GROUP BY ALL""",
     "text_normalized": f"WITH {PROMPTS} SELECT prompt_id, md5(t) AS normal_md5, md5(l) AS detector_md5, length(t)::BIGINT AS n_chars FROM low",
     "text_cleaned": f"""SELECT doc_id, md5(x) AS text_md5, length(x)::BIGINT AS n_chars FROM (
-        SELECT doc_id, substr({_tidy('text')}, 1, {fixed.WILD_TEXT_CAP}) AS x FROM documents) WHERE length(x) >= {fixed.MIN_TEXT_LENGTH}""",
+        SELECT doc_id, {_tidy('text')} AS x FROM documents) WHERE length(x) >= {fixed.MIN_TEXT_LENGTH}""",
+    "text_capped": f"""SELECT doc_id, md5(x) AS text_md5, length(x)::BIGINT AS n_chars FROM (
+        SELECT doc_id, substr({_tidy('text')}, 1, {fixed.WILD_TEXT_CAP}) AS x FROM documents) WHERE length(x) >= 1""",
     "card_check": f"""WITH {PEOPLE}, forms AS (SELECT key, [card, substr(card, 1, 8) || '-' || substr(card, 9, 8),
         substr(card, 1, 15) || ((substr(card, 16, 1)::INT + 1) % 10), substr(card, 1, 12)] AS f FROM people),
         long AS (SELECT key, unnest(range(0, 4))::INTEGER AS form, unnest(f) AS c FROM forms)
@@ -330,10 +330,10 @@ ORACLE: dict[str, str] = {
         coalesce(n, 0)::INTEGER AS signals, len(pii)::INTEGER AS entities
         FROM scan LEFT JOIN listed USING (prompt_id) LEFT JOIN counted USING (prompt_id)""",
     "event_ids": SCAN + "SELECT scan_id, timestamp FROM events_scanned",
-    "events_latest": SCAN + "SELECT scan_id, timestamp, risk_score, decision FROM events_scanned ORDER BY at_time DESC, scan_id LIMIT 100",
+    "events_latest": SCAN + "SELECT scan_id, timestamp, risk_score, decision FROM events_scanned ORDER BY at_time DESC NULLS LAST, scan_id LIMIT 100",
     "events_by_decision": SCAN + """SELECT count(*) AS total, count(*) FILTER (decision = 'ALLOW') AS allow,
         count(*) FILTER (decision = 'SANITIZE') AS sanitize, count(*) FILTER (decision = 'BLOCK') AS block FROM events_scanned""",
-    "events_by_decision_last": SCAN + """, newest AS (SELECT * FROM events_scanned ORDER BY at_time DESC, scan_id LIMIT 100)
+    "events_by_decision_last": SCAN + """, newest AS (SELECT * FROM events_scanned ORDER BY at_time DESC NULLS LAST, scan_id LIMIT 100)
         SELECT count(*) AS total, count(*) FILTER (decision = 'ALLOW') AS allow,
         count(*) FILTER (decision = 'SANITIZE') AS sanitize, count(*) FILTER (decision = 'BLOCK') AS block FROM newest""",
     "events_by_threat": SCAN + f"""SELECT k.threat, count(t.prompt_id) AS events FROM (SELECT unnest({_list(fixed.KNOWN_THREATS)}) AS threat) k
@@ -353,7 +353,8 @@ ORACLE: dict[str, str] = {
     "source_paired": f"WITH {CORPORA} SELECT source, pos, label, md5(text) AS text_md5 FROM paired WHERE length(text) > 0",
     "source_instructions": f"WITH {CORPORA} SELECT pos, label, text FROM instructions",
     "source_safe_only": f"WITH {CORPORA} SELECT pos, label, md5(text) AS text_md5 FROM refusals WHERE length(text) > 0",
-    "dataset_sample": f"WITH {CORPORA} SELECT pos, label, md5(text) AS text_md5 FROM wild",
+    "dataset_sample": f"WITH {CORPORA} SELECT pos, label, md5(substr(text, 1, {fixed.WILD_TEXT_CAP})) AS text_md5 FROM wild "
+        f"ORDER BY md5('{fixed.SEED}:wild:' || pos), pos LIMIT {fixed.WILD_SAMPLE}",
     "dataset_sample_large": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
         ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 1, 2, 3, 4 LIMIT 5000)
         SELECT *, count(*) AS n_rows FROM r GROUP BY ALL""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +71,14 @@ def text_normalized(spark, sf_dir):
 
 @query
 def text_cleaned(spark, sf_dir):
-    df = clean_text(inputs.documents(spark, sf_dir, "doc_id", "text"), cap=fixed.WILD_TEXT_CAP,
-                    min_len=fixed.MIN_TEXT_LENGTH)
+    df = clean_text(inputs.documents(spark, sf_dir, "doc_id", "text"), min_len=fixed.MIN_TEXT_LENGTH)
+    return df.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def text_capped(spark, sf_dir):
+    """The cap on a text's length, which one kind of source asks for."""
+    df = clean_text(inputs.documents(spark, sf_dir, "doc_id", "text"), cap=fixed.WILD_TEXT_CAP)
     return df.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -126,6 +133,10 @@ USER_RULES = [
     ("asks_for_time", r"\b(morning|today)\b", "SCHEDULE", 10, "Time of day mentioned"),
     ("asks_for_order", r"\border\b", "COMMERCE", 20, "Order mentioned"),
     ("private_matter", r"\bprivate\b|\bkeep it\b", "PRIVACY", 30, "Private matter"),
+    ("spanish_ending", "ci\u00f3n", "LANGUAGE", 5, "Spanish ending"),
+    ("german_sound", "[\u00e4\u00f6\u00fc]ch", "LANGUAGE", 5, "German sound"),
+    # enough rules for several passes; some of them occur in card and order numbers
+    *[(f"number_{i}", f"{i:03d}{i:03d}", "NUMBER", 1, f"Number {i}") for i in range(700)],
 ]
 
 
@@ -325,44 +336,44 @@ def event_ids(spark, sf_dir):
 
 @query
 def events_latest(spark, sf_dir):
-    return events.latest(inputs.scan_events(spark, sf_dir)).select(
+    return events.latest(inputs.stored_events(spark, sf_dir)).select(
         "scan_id", utc_iso(F.col("timestamp")).alias("timestamp"), "risk_score", "decision")
 
 
 @query
 def events_by_decision(spark, sf_dir):
-    return events.event_totals(inputs.scan_events(spark, sf_dir))
+    return events.event_totals(inputs.stored_events(spark, sf_dir))
 
 
 @query
 def events_by_decision_last(spark, sf_dir):
-    return events.event_totals(inputs.scan_events(spark, sf_dir), last_n=100)
+    return events.event_totals(inputs.stored_events(spark, sf_dir), last_n=100)
 
 
 @query
 def events_by_threat(spark, sf_dir):
-    return events.threat_counts(inputs.scan_events(spark, sf_dir))
+    return events.threat_counts(inputs.stored_events(spark, sf_dir))
 
 
 @query
 def events_search(spark, sf_dir):
-    found = events.search_events(inputs.scan_events(spark, sf_dir), "PREVIOUS Instructions", "BLOCK")
+    found = events.search_events(inputs.stored_events(spark, sf_dir), "PREVIOUS Instructions", "BLOCK")
     return found.select("scan_id", "risk_score", utc_iso(F.col("timestamp")).alias("timestamp"))
 
 
 @query
 def events_search_id(spark, sf_dir):
-    return events.search_events(inputs.scan_events(spark, sf_dir), "-AB").select("scan_id", "decision")
+    return events.search_events(inputs.stored_events(spark, sf_dir), "-AB").select("scan_id", "decision")
 
 
 @query
 def events_signals(spark, sf_dir):
-    return events.event_signals(inputs.scan_events(spark, sf_dir))
+    return events.event_signals(inputs.stored_events(spark, sf_dir))
 
 
 @query
 def events_redacted_only(spark, sf_dir):
-    return events.redacted_events(inputs.scan_events(spark, sf_dir)).select(
+    return events.redacted_events(inputs.stored_events(spark, sf_dir)).select(
         "scan_id", F.md5("original_prompt").alias("original_md5"), F.md5("sanitized_prompt").alias("sanitized_md5"))
 
 
@@ -372,7 +383,7 @@ def events_lookup(spark, sf_dir):
     toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("prompt_id"))
     wanted = inputs.prompts(spark, sf_dir).join(toxic, "prompt_id", "left_semi").select(
         scan_id(F.lit("prompts"), F.col("prompt_id").cast("string"), F.col("prompt")).alias("scan_id"))
-    return events.lookup_events(inputs.scan_events(spark, sf_dir), wanted).select("scan_id", "risk_score", "decision")
+    return events.lookup_events(inputs.stored_events(spark, sf_dir), wanted).select("scan_id", "risk_score", "decision")
 
 
 # --- dataset ------------------------------------------------------------------
@@ -389,12 +400,10 @@ def _corpora(spark, sf_dir):
         "verdict", F.when(F.col("quality") == 1, F.lit("safe")).otherwise(F.lit("unsafe"))).select("doc_id", "verdict")
     return [
         _two_label(spark, sf_dir),
-        SourceSpec("wild", fixed.JAILBREAK, table=inputs.documents(spark, sf_dir, "doc_id", "text"), pos_col="doc_id",
-                   cap=fixed.WILD_TEXT_CAP, sample=fixed.WILD_SAMPLE),
+        SourceSpec("wild", fixed.JAILBREAK, table=inputs.documents(spark, sf_dir, "doc_id", "text"), pos_col="doc_id"),
         SourceSpec("paired_harmful", fixed.JAILBREAK, table=turns, keep="role = 'assistant'", pos_col="pos"),
         SourceSpec("paired_benign", fixed.NORMAL, table=turns, keep="role = 'user'", pos_col="pos"),
-        SourceSpec("instructions", fixed.PROMPT_INJECTION, path=f"{sf_dir}/benchmark.parquet", pos_col="item_id",
-                   sample=fixed.ADVERSARIAL_SAMPLE),
+        SourceSpec("instructions", fixed.PROMPT_INJECTION, path=f"{sf_dir}/benchmark.parquet", pos_col="item_id"),
         SourceSpec("refusals", fixed.NORMAL, keep="verdict = 'safe'", pos_col="doc_id",
                    table=inputs.documents(spark, sf_dir, "doc_id", "text").join(judged, "doc_id")),
     ]
@@ -434,8 +443,9 @@ def source_safe_only(spark, sf_dir):
 
 @query
 def dataset_sample(spark, sf_dir):
+    """A source with its sample size and cap."""
     spec = next(s for s in _corpora(spark, sf_dir) if s.name == "wild")
-    return load_source(spark, spec).select("pos", "label", F.md5("text").alias("text_md5"))
+    return load_source(spark, replace(spec, cap=fixed.WILD_TEXT_CAP, sample=fixed.WILD_SAMPLE)).select("pos", "label", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -456,8 +466,7 @@ def dataset_union_dedup(spark, sf_dir):
 
 @query
 def dataset_stage_counts(spark, sf_dir):
-    rows, done = _dataset(spark, sf_dir)
-    return dataset.stage_counts({"before": rows, "after": done})
+    return dataset.stage_counts(_dataset(spark, sf_dir)[0])
 
 
 @query
@@ -465,21 +474,28 @@ def dataset_class_counts(spark, sf_dir):
     return dataset.class_counts(_dataset(spark, sf_dir)[1])
 
 
+def _split(spark, sf_dir):
+    """The dataset written to the shared folder before it is split, as its rows are read more than once."""
+    path = work_dir(spark, "dataset")
+    _dataset(spark, sf_dir)[1].write.parquet(path)
+    return dataset.split_dataset(spark.read.parquet(path))
+
+
 @query
 def dataset_split_members(spark, sf_dir):
-    return dataset.split_dataset(_dataset(spark, sf_dir)[1]).select("source", "pos", "label", "split")
+    return _split(spark, sf_dir).select("source", "pos", "label", "split")
 
 
 @query
 def dataset_split_counts(spark, sf_dir):
-    return dataset.split_counts(dataset.split_dataset(_dataset(spark, sf_dir)[1]))
+    return dataset.split_counts(_split(spark, sf_dir))
 
 
 @query
 def splits_roundtrip(spark, sf_dir):
     """Splits written with a header and read back one by one."""
     path = work_dir(spark, "splits")
-    write_splits(dataset.split_dataset(_dataset(spark, sf_dir)[1]), path, fmt="csv")
+    write_splits(_split(spark, sf_dir), path, fmt="csv")
     out = None
     for name in fixed.SPLIT_SHARES:
         part = read_split(spark, path, name, fmt="csv").groupBy("label").agg(
@@ -491,12 +507,12 @@ def splits_roundtrip(spark, sf_dir):
 @query
 def dataset_template_cross(spark, sf_dir):
     topics = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("topic")).distinct()
-    return dataset.expand_templates(topics).select("topic", F.col("template_no").cast("int").alias("template_no"), "text")
+    return dataset.expand_templates(topics, n=fixed.EXPANDED_ROWS).select("topic", F.col("template_no").cast("int").alias("template_no"), "text")
 
 
 @query
 def dataset_template_fill(spark, sf_dir):
-    return dataset.fill_from_table(inputs.identities(spark, sf_dir)).select(F.col("round_no").cast("int").alias("round_no"), "key", "text")
+    return dataset.fill_from_table(inputs.identities(spark, sf_dir), n=fixed.FILLED_ROWS).select(F.col("round_no").cast("int").alias("round_no"), "key", "text")
 
 
 @query
@@ -576,7 +592,7 @@ def model_intent_counts(spark, sf_dir):
 # --- evaluation ---------------------------------------------------------------
 
 def _one(spark, sf_dir, model="phrases"):
-    return inputs.predictions(spark, sf_dir).filter(F.col("model") == model).drop("model")
+    return inputs.predictions(spark, sf_dir, [model]).drop("model")
 
 
 _RATES = ("precision", "recall", "f1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Sized for long texts: Arrow batches are bounded by bytes as well as rows, and
-# AQE merges or splits shuffle partitions, so the partition count is only a start.
+# Sized for long texts: Arrow batches are bounded by bytes as well as rows.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,7 +28,9 @@ def build_session(app: str = "screenline", master: str | None = None, **conf) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    # AQE merges shuffle partitions but does not split those of an aggregate or a window: a cluster starts with many.
+    many = {} if (master or "").startswith("local") else {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000"}
+    for key, value in {**DEFAULTS, **many, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -42,6 +45,8 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = _LOCAL.setdefault("dir", "") or tempfile.mkdtemp(prefix="screenline-")
-        _LOCAL["dir"] = shared
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="screenline-")
+            atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+        shared = _LOCAL["dir"]
     return f"{shared.rstrip('/')}/screenline/{purpose}-{uuid.uuid4().hex}"

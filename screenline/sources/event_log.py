@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenline.schema import EVENT_LOG
+from screenline.session import work_dir
 
 _COLUMNS = [f.name for f in EVENT_LOG.fields]
 
@@ -44,13 +45,22 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append events whose ``scan_id`` the log does not hold yet.
 
-    Ids are derived from the input, so writing a batch again after a failure
-    adds nothing twice. Only the narrow id column of the log is read, and the
-    events are shuffled once, by id. There is no shuffle by day: it would put a
-    busy day into one task.
+    Ids and times come from the input, so writing a batch again after a failure
+    adds nothing twice. The batch is written once to the shared folder, so that
+    it is scanned once. Of the log, only ids of the batch's days are read. Rows
+    are joined with their texts after ids were compared, and each day is written
+    in files of bounded size: a busy day is split, a quiet one is one file.
     """
     spark = events.sparkSession
     ensure_event_log(spark, path)
-    known = read_events(spark, path).select("scan_id")
-    fresh = with_date(events).dropDuplicates(["scan_id"]).join(known, "scan_id", "left_anti")
-    _write(fresh, path, "append")
+    stage = work_dir(spark, "append")
+    with_date(events).write.parquet(stage)
+    batch = spark.read.parquet(stage)
+    days = [r["event_date"] for r in batch.select("event_date").distinct().collect()]
+    of_days = F.col("event_date").isin([d for d in days if d is not None])
+    if None in days:
+        of_days = of_days | F.col("event_date").isNull()
+    known = read_events(spark, path).filter(of_days).select("scan_id")
+    new = batch.select("scan_id").distinct().join(known, "scan_id", "left_anti")
+    fresh = batch.join(new, "scan_id", "left_semi").dropDuplicates(["scan_id"])
+    _write(fresh.hint("rebalance", "event_date"), path, "append")

@@ -60,7 +60,8 @@ def test_sources(spark, tmp_path):
 
 def test_build_split_write_read(spark, tmp_path):
     spec = SourceSpec("n", "JAILBREAK", table=spark.range(60).select(F.concat(F.lit('say "'), "id", F.lit('", now ')).alias("text"), "id"), pos_col="id")
-    built = D.build_dataset(spark, [spec])
+    assert D.build_dataset(spark, [spec]).count() == 60 + 42 + len(fixed.TOPICS) * len(fixed.TOPIC_TEMPLATES)
+    built = D.build_dataset(spark, [spec], topic_rows=fixed.EXPANDED_ROWS)
     assert built.count() == 60 + 42 + fixed.EXPANDED_ROWS
     parts = D.split_dataset(built)
     for fmt in ("csv", "parquet"):

@@ -97,6 +97,11 @@ def test_user_pack_small_and_large(spark):
     want = {(0, "r0"), (1, "r0"), (0, "r1"), (1, "r1"), (1, "r2")}
     assert {(r["i"], r["name"]) for r in rule_hits(texts, "s", pack).collect()} == want
     assert {(r["i"], r["name"]) for r in rule_hits(texts, "s", table).collect()} == want
+    # any number of further rules changes nothing for these, accented texts included
+    many = table.unionByName(spark.range(700).selectExpr("concat('f', id) name", "concat('filler', id, '\\\\b') pattern", "'F' threat", "1 severity", "'m' message"))
+    hits = rule_hits(texts, "s", many)
+    assert {(r["i"], r["name"]) for r in hits.collect()} == want
+    assert "CartesianProduct" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
 def test_many_rules_use_several_masks(spark):

@@ -46,6 +46,16 @@ def test_latest(log):
     assert "event_date" in E.latest(log, 1)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_latest_with_events_without_time(spark, prompts, tmp_path):
+    path = str(tmp_path / "log")
+    append_events(scan_batch(prompts.withColumn("event_ts", F.when(F.col("prompt_id") < 2, F.col("event_ts")))), path)
+    stored = read_events(spark, path)
+    assert [r["original_prompt"] for r in E.latest(stored, 2).collect()] == [TEXTS[1], TEXTS[0]]
+    assert E.latest(stored, 3).count() == 3 and E.latest(stored, 100).count() == 4
+    append_events(scan_batch(prompts.withColumn("event_ts", F.when(F.col("prompt_id") < 2, F.col("event_ts")))), path)
+    assert read_events(spark, path).count() == 4
+
+
 def test_counts(log):
     assert E.event_totals(log).first().asDict() == {"total": 4, "allow": 1, "sanitize": 1, "block": 2}
     assert E.event_totals(log, last_n=1).first()["total"] == 1
