@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,44 +59,47 @@ def round_robin(df: DataFrame, bank: Sequence[str], key: str, dst: str = "phrase
     return df.withColumn(dst, assign_round_robin(F.col(key), bank))
 
 
+_BUCKETS = 4096
+
+
 def exact_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> list[float | None]:
-    """Percentiles with linear interpolation, exact at any size.
+    """Percentiles with linear interpolation, exact at any size. Null and NaN do not count.
 
-    The built-in exact percentile keeps all distinct values in one task. Here a
-    quantile sketch brackets each wanted rank. One aggregation counts the rows
-    below the brackets, another the values inside them; the sketch is as fine as
-    it takes for a bracket to hold at most a few hundred thousand rows.
+    The built-in exact percentile keeps all distinct values in one task. Here each
+    pass counts the values of a fixed number of equal ranges around each wanted
+    rank, with their least and greatest value, and goes on within the range that
+    holds the rank, until that holds a single value. The driver sees no more than
+    the counts of one pass.
     """
-    values = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
+    values = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not whole["n"]:
         return [None for _ in points]
-    error = min(1e-4, 50_000 / n)
-    ranks = [(n - 1) * p / 100 for p in points]
-    slack = error * n + 2
-    found = values.approxQuantile(
-        "v", [min(1.0, max(0.0, (r + side * slack) / n)) for r in ranks for side in (-1, 1)], error)
-    brackets = [(-math.inf if r - slack <= 0 else found[2 * i], math.inf if r + slack >= n else found[2 * i + 1])
-                for i, r in enumerate(ranks)]
-    below = values.agg(*[F.count_if(F.col("v") < lo).alias(str(i)) for i, (lo, _) in enumerate(brackets)]).first()
-    inside = reduce(lambda a, b: a | b, [F.col("v").between(lo, hi) for lo, hi in brackets])
-    counts = [(r["v"], r["n"]) for r in
-              values.filter(inside).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()]
-    return [_at_rank(counts, lo, below[i], ranks[i]) for i, (lo, _) in enumerate(brackets)]
-
-
-def _at_rank(counts: list[tuple[float, int]], lo: float, below: int, rank: float) -> float:
-    first, last = math.floor(rank), math.ceil(rank)
-    seen, low = below, None
-    for v, n in counts:
-        if v < lo:
-            continue
-        seen += n
-        if low is None and seen > first:
-            low = v
-        if seen > last:
-            return low + (v - low) * (rank - first)
-    raise RuntimeError("bracket does not hold the wanted rank")
+    ranks = [(whole["n"] - 1) * p / 100 for p in points]
+    found: dict[int, float] = {}
+    # range of values, rows below it: the ranks that lie in it
+    todo = {(whole["low"], whole["high"], 0): {int(f(r)) for r in ranks for f in (math.floor, math.ceil)}}
+    while todo:
+        spans = list(todo)
+        # spans are whole, or ranges of one pass, so none overlaps another
+        part = F.coalesce(*[F.when(F.col("v").between(low, high), F.lit(i)) for i, (low, high, _) in enumerate(spans)])
+        # halves, lest the width of a range overflow
+        place = [F.floor((F.col("v") / 2 - low / 2) / max(high / 2 - low / 2, 5e-324) * _BUCKETS) for low, high, _ in spans]
+        bucket = F.element_at(F.array(*[F.least(F.greatest(p, F.lit(0)), F.lit(_BUCKETS - 1)).cast("int") for p in place]), F.col("part") + 1)
+        counts = (values.withColumn("part", part).filter("part is not null").withColumn("bucket", bucket)
+                  .groupBy("part", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        later: dict[tuple[float, float, int], set[int]] = {}
+        for i, span in enumerate(spans):
+            below = span[2]
+            for row in sorted((r for r in counts if r["part"] == i), key=lambda r: r["low"]):
+                inside = {r for r in todo[span] if below <= r < below + row["n"]}
+                if inside and row["low"] == row["high"]:
+                    found |= dict.fromkeys(inside, row["low"])
+                elif inside:
+                    later[row["low"], row["high"], below] = inside
+                below += row["n"]
+        todo = later
+    return [found[math.floor(r)] + (found[math.ceil(r)] - found[math.floor(r)]) * (r - math.floor(r)) for r in ranks]
 
 
 def latency_summary(df: DataFrame, value: str = "duration_ms", seq: str = "seq", warmup: int = fixed.LATENCY_WARMUP,

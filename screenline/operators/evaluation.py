@@ -7,6 +7,7 @@ every metric is arithmetic on those counts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,28 +94,44 @@ def metrics_table(df: DataFrame, model: str, labels: Sequence[str] = LABELS) ->
     return _measured(df, labels, []).select(F.lit(model).alias("model"), F.inline(rows))
 
 
-def compare_models(predictions: DataFrame, baselines: Sequence[str], labels: Sequence[str] = LABELS) -> DataFrame:
+def _stored_wide(metrics: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Columns per metric from a table (model, label, metric, value), as ``read_metrics`` gives it."""
+    return metrics.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names])
+
+
+def compare_models(predictions: DataFrame | None, baselines: Sequence[str], labels: Sequence[str] = LABELS,
+                   stored: DataFrame | None = None) -> DataFrame:
     """One row per model with the best baseline macro F1 and the gap to it.
 
-    ``predictions`` has a ``model`` column; only one row per model is windowed.
+    ``predictions`` has a ``model`` column; ``stored`` adds models by their
+    metrics of an earlier run. Only one row per model is windowed.
     """
-    overall = overall_metrics(predictions, labels, by=["model"])
+    names = ["accuracy", "precision_macro", "recall_macro", "f1_macro"]
+    parts = [] if predictions is None else [overall_metrics(predictions, labels, by=["model"]).select("model", *names)]
+    if stored is not None:
+        parts.append(_stored_wide(stored.filter(F.col("label") == _OVERALL), ["model"], names))
+    overall = reduce(DataFrame.unionByName, parts)
     everything = Window.partitionBy(F.lit(0))
     best = F.max(F.when(F.col("model").isin(list(baselines)), F.col("f1_macro"))).over(everything)
-    return overall.select("model", "accuracy", "precision_macro", "recall_macro", "f1_macro",
-                          best.alias("best_baseline_f1"), (F.col("f1_macro") - best).alias("f1_gap"))
+    return overall.select("model", *names, best.alias("best_baseline_f1"), (F.col("f1_macro") - best).alias("f1_gap"))
 
 
-def compare_by_class(predictions: DataFrame, models: Sequence[str], labels: Sequence[str] = LABELS) -> DataFrame:
+def compare_by_class(predictions: DataFrame | None, models: Sequence[str], labels: Sequence[str] = LABELS,
+                     stored: DataFrame | None = None) -> DataFrame:
     """One row per label with precision, recall and F1 of every model.
 
     ``models`` maps column prefixes to model names, or lists names to use as both.
+    ``stored`` as in ``compare_models``.
     """
     names = models if isinstance(models, Mapping) else {m: m for m in models}
-    per_class = class_metrics(predictions, labels, by=["model"])
+    rates = ["precision", "recall", "f1"]
+    parts = [] if predictions is None else [class_metrics(predictions, labels, by=["model"]).select("model", "label", *rates)]
+    if stored is not None:
+        parts.append(_stored_wide(stored.filter(F.col("label") != _OVERALL), ["model", "label"], rates))
+    per_class = reduce(DataFrame.unionByName, parts)
     return per_class.groupBy("label").agg(*[
         F.max(F.when(F.col("model") == model, F.col(metric))).alias(f"{prefix}_{metric}")
-        for prefix, model in names.items() for metric in ("precision", "recall", "f1")])
+        for prefix, model in names.items() for metric in rates])
 
 
 def detection_rates(df: DataFrame, targets: Sequence[tuple] = tuple(fixed.QUALITY_TARGETS),

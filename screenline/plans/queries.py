@@ -633,15 +633,24 @@ def metrics_roundtrip(spark, sf_dir):
     return read_metrics(spark, path).withColumn("value", F.round("value", 6))
 
 
+def _fresh_and_stored(spark, sf_dir):
+    """Predictions of one model, and the metrics file of another as an earlier run left it."""
+    path = work_dir(spark, "stored-metrics")
+    write_metrics(evaluation.metrics_table(_one(spark, sf_dir), "phrases"), path)
+    return inputs.predictions(spark, sf_dir, ["rules"]), read_metrics(spark, path)
+
+
 @query
 def model_compare(spark, sf_dir):
-    df = evaluation.compare_models(inputs.predictions(spark, sf_dir), baselines=["phrases"])
+    fresh, stored = _fresh_and_stored(spark, sf_dir)
+    df = evaluation.compare_models(fresh, baselines=["phrases"], stored=stored)
     return df.select("model", *[F.round(c, 6).alias(c) for c in df.columns if c != "model"])
 
 
 @query
 def model_compare_by_class(spark, sf_dir):
-    df = evaluation.compare_by_class(inputs.predictions(spark, sf_dir), ["phrases", "rules"])
+    fresh, stored = _fresh_and_stored(spark, sf_dir)
+    df = evaluation.compare_by_class(fresh, ["phrases", "rules"], stored=stored)
     return df.select("label", *[F.round(c, 6).alias(c) for c in df.columns if c != "label"])
 
 
@@ -698,9 +707,20 @@ def latency_summary(spark, sf_dir):
     return df.select("n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")], "target_met")
 
 
+_POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 @query
 def latency_approximate(spark, sf_dir):
-    return benchmark.approximate_latency(_durations(spark, sf_dir))
+    """Whether the sketch's percentiles have the wanted ranks, to a thousandth."""
+    rows = _durations(spark, sf_dir)
+    found = benchmark.approximate_latency(rows).first()
+    kept = rows.filter(F.col("seq") > fixed.LATENCY_WARMUP)
+    ranks = kept.agg(F.count("duration_ms").alias("n"), *[F.count_if(F.col("duration_ms") < found[f"{p}_ms"]).alias(f"{p}_low") for p in _POINTS],
+                     *[F.count_if(F.col("duration_ms") <= found[f"{p}_ms"]).alias(f"{p}_high") for p in _POINTS])
+    near = F.array(*[F.struct(F.lit(p).alias("point"), (
+        (F.col(f"{p}_low") <= (share + 0.001) * F.col("n")) & (F.col(f"{p}_high") >= (share - 0.001) * F.col("n"))).alias("near_rank")) for p, share in _POINTS.items()])
+    return ranks.select(F.inline(near))
 
 
 @query
