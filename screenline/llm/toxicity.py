@@ -48,6 +48,14 @@ def word_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(h % np.uint64(BUCKETS)).astype(np.int32) for h in hashes], axis=1), words.at
 
 
+def rows_in_slices(column: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """`word_rows`, worked out for a slice of the texts at a time, which bounds the memory it takes."""
+    parts = [word_rows(c.column(0)) for c in chunks(pa.RecordBatch.from_arrays([column], names=["t"]), "t", most)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts]) if parts else np.zeros(0, np.int64)
+    rows = np.concatenate([r for r, _ in parts]) if parts else np.zeros((0, 3), np.int32)
+    return rows, np.concatenate([[0], np.cumsum(sizes)])
+
+
 @dataclass
 class Network:
     table: np.ndarray  # BUCKETS x SIZE
@@ -103,7 +111,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = 8, batch: int
     if not 0 < y.sum() < len(y):
         net.out[:] = 0
         return net
-    rows, at = word_rows(pa.array(texts, pa.string()))
+    rows, at = rows_in_slices(pa.array(texts, pa.string()))
     seen_table = np.full((BUCKETS, 1), 1e-3, np.float32)
     seen = {k: np.full_like(getattr(net, k), 1e-3) for k in ("filters", "bias", "out")}
     for _ in range(epochs):
@@ -178,10 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most
     return train(sample["text"].tolist(), sample["toxic"].tolist())
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and `toxic_score`, from the whole text alone. Null and empty texts get the score of no words."""
+def score(docs: DataFrame, network: Network, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
+    """All columns of docs and `name`, a new column, from the whole text alone. Null and empty texts get the score of no words."""
     scorer = network.scorer()
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +198,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
             texts = pa.RecordBatch.from_arrays([column], names=["t"])
             parts = [scorer.scores(*word_rows(part.column(0))) for part in chunks(texts, "t", 1 << 18)]
             scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -248,6 +256,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.filter("toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     thresholds(score(source.join(marks, "doc_id", "left_semi"), network).drop("text"), labels).write.parquet(path)
     limits = spark.read.parquet(path).withColumnsRenamed({"lang": "__lang", "threshold": "__threshold"})
-    scored = score(docs, network)
+    scored = score(docs, network, name="__toxic_score")
     limit = F.least(F.coalesce("__threshold", F.lit(DEFAULT_THRESHOLD)), F.lit(DEFAULT_THRESHOLD))
-    return scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").filter(F.col("toxic_score") < limit).select(docs.columns)
+    return scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").filter(F.col("__toxic_score") < limit).select(docs.columns)
