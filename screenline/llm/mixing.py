@@ -45,22 +45,22 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, ep
     at least one per row). A null source is a source of its own, named null.
     """
     size = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)) if size is None else size
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("of")).agg(F.sum(size.cast("long")).alias("size"))
+    sizes = docs.groupBy(F.col(source_col).cast("string").alias("__of")).agg(F.sum(size.cast("long")).alias("size"))
     if weights is None:
         weight = F.lit(1.0)
     else:
-        named = [F.when(F.col("of").eqNullSafe(F.lit(k)), F.lit(float(w))) for k, w in weights.items() if w > 0]
+        named = [F.when(F.col("__of").eqNullSafe(F.lit(k)), F.lit(float(w))) for k, w in weights.items() if w > 0]
         weight = F.coalesce(*named, F.lit(None).cast("double"))
     path = work_dir(docs.sparkSession, "sizes")
     sizes.withColumn("weight", weight).filter("weight is not null").write.parquet(path)
     weighted = docs.sparkSession.read.parquet(path)
     whole = weighted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
-    return weighted.select("of", (F.col("weight") / F.lit(whole["weight"]) * F.lit(float(epochs)) * F.lit(whole["size"]) / F.col("size")).alias("rate"))
+    return weighted.select("__of", (F.col("weight") / F.lit(whole["weight"]) * F.lit(float(epochs)) * F.lit(whole["size"]) / F.col("size")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: str = "mix",
                 id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None) -> DataFrame:
-    """The mixture in random order: all columns of docs, with mix_copy (from 1) and mix_order.
+    """The mixture in random order: all columns of docs, with mix_copy (from 1) and mix_order, which replace columns of these names.
 
     A row's draw depends on seed, id and text, so equal rows are repeated equally
     often, and equal texts under different ids are drawn apart. Null ids, texts
@@ -73,11 +73,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     """
     rates = source_rates(docs, weights, epochs, source_col, size)
     who = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))]
-    drawn = docs.join(rates.withColumnRenamed("rate", "mix_rate"), F.col(source_col).cast("string").eqNullSafe(F.col("of"))).drop("of")
-    whole = F.when(F.col("mix_rate") > MOST, F.floor("mix_rate").cast("int") - (MOST - 1)).otherwise(F.lit(0))
-    copies = whole + poisson(F.col("mix_rate") - whole, unit_hash(*who))
-    drawn = drawn.withColumn("mix_copies", copies).filter("mix_copies > 0")
-    drawn = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    drawn = docs.join(rates.withColumnRenamed("rate", "__mix_rate"), F.col(source_col).cast("string").eqNullSafe(F.col("__of"))).drop("__of")
+    whole = F.when(F.col("__mix_rate") > MOST, F.floor("__mix_rate").cast("int") - (MOST - 1)).otherwise(F.lit(0))
+    copies = whole + poisson(F.col("__mix_rate") - whole, unit_hash(*who))
+    drawn = drawn.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
+    drawn = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
     order = F.md5(F.concat_ws("|", *who, F.col("mix_copy").cast("string")).cast("binary"))
-    return (drawn.withColumn("mix_order", order).drop("mix_rate", "mix_copies")
+    return (drawn.withColumn("mix_order", order).drop("__mix_rate", "__mix_copies")
             .repartition("mix_order").sortWithinPartitions("mix_order"))
