@@ -9,6 +9,7 @@ from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenline import fixed
 from screenline.functions.settle import settle
@@ -59,7 +60,8 @@ def model_intent(df: DataFrame, text_col: str, model: Transformer, probability_c
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     scored = model.transform(df.select(F.struct("*").alias("_row"), text.alias("text")))
-    scored = scored.withColumn("_p", vector_to_array(F.col(probability_col)))
+    is_array = isinstance(scored.schema[probability_col].dataType, T.ArrayType)
+    scored = scored.withColumn("_p", F.col(probability_col) if is_array else vector_to_array(F.col(probability_col)))
     top = F.array_max("_p")
     scored = scored.withColumn("_winner", index_label(F.array_position("_p", top) - 1))
     empty = F.length("text") == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from screenline import fixed
 from screenline.plans.inputs import FIRST_SECOND, SECONDS, TIMELESS
-from screenline.plans.queries import USER_RULES
+from screenline.plans.queries import FIXED_INTERCEPTS, FIXED_TERMS, USER_RULES
 
 
 def _s(text: str) -> str:
@@ -102,6 +102,27 @@ intent AS (
   FROM phrase_hits)"""
 
 
+def _fixed_model(source: str, key: str, text: str) -> str:
+    """CTEs down to ``fixed_probs(key, p0, p1, p2)``: a linear model on TF-IDF, one probability per class."""
+    terms = ", ".join(f"({_s(t)}, {idf}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for t, idf, a, b, c in FIXED_TERMS)
+    margin = ", ".join(f"{b}::DOUBLE + coalesce(s{k} / norm, 0) AS m{k}" for k, b in enumerate(FIXED_INTERCEPTS))
+    return f"""
+fixed_terms(term, idf, c0, c1, c2) AS (VALUES {terms}),
+fixed_words AS (SELECT {key}, regexp_extract_all(lower({text}), '[\\pL\\pN_]{{2,}}') AS w FROM {source}),
+fixed_long AS (SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM fixed_words),
+fixed_counts AS (SELECT {key}, term, count(*) AS tf FROM fixed_long JOIN fixed_terms USING (term) GROUP BY {key}, term),
+fixed_raw AS (SELECT {key}, (1 + ln(tf)) * idf AS v, c0, c1, c2 FROM fixed_counts JOIN fixed_terms USING (term)),
+fixed_sums AS (SELECT {key}, sqrt(sum(v * v)) AS norm, sum(v * c0) AS s0, sum(v * c1) AS s1, sum(v * c2) AS s2 FROM fixed_raw GROUP BY {key}),
+fixed_margins AS (SELECT {key}, {margin} FROM {source} LEFT JOIN fixed_sums USING ({key})),
+fixed_probs AS (SELECT {key}, exp(m0) / (exp(m0) + exp(m1) + exp(m2)) AS p0, exp(m1) / (exp(m0) + exp(m1) + exp(m2)) AS p1,
+  exp(m2) / (exp(m0) + exp(m1) + exp(m2)) AS p2 FROM fixed_margins)"""
+
+
+FIXED_INTENT = _fixed_model("prompts", "prompt_id", "prompt") + """,
+intent AS (SELECT prompt_id, CASE WHEN p0 >= p1 AND p0 >= p2 THEN NULL WHEN p1 >= p2 THEN 'PROMPT_INJECTION' ELSE 'JAILBREAK' END AS label,
+    round(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 1 - p0 ELSE greatest(p1, p2) END, 2) AS confidence FROM fixed_probs)"""
+
+
 def _uuid(h: str) -> str:
     return f"concat_ws('-', substr({h},1,8), substr({h},9,4), substr({h},13,4), substr({h},17,4), substr({h},21,12))"
 
@@ -381,6 +402,11 @@ ORACLE: dict[str, str] = {
         SELECT id, term, round(w / norm, 6) AS weight FROM raw JOIN norms USING (id)""",
     "class_weights": TERMS + """, c AS (SELECT label, count(*) AS n_rows FROM docs GROUP BY label)
         SELECT label, n_rows, round((SELECT sum(n_rows) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n_rows), 6) AS weight FROM c""",
+    "model_fixed_intent": f"WITH {PROMPTS}, {FIXED_INTENT} SELECT prompt_id, label AS intent_label, confidence AS intent_confidence FROM intent",
+    "model_fixed_predictions": f"WITH docs AS (SELECT doc_id AS id, text, {_LABEL} AS y_true FROM documents JOIN labels USING (doc_id)), "
+        + _fixed_model("docs", "id", "text") + """ SELECT id, y_true, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'NORMAL'
+        WHEN p1 >= p2 THEN 'PROMPT_INJECTION' ELSE 'JAILBREAK' END AS y_pred FROM docs JOIN fixed_probs USING (id)""",
+    "scan_with_model": SCAN.replace(INTENT, FIXED_INTENT) + "SELECT scan_id, risk_score, decision FROM scan",
     "confusion": _PREDICT + """SELECT c.label AS y_true, count(*) FILTER (y_pred = 'NORMAL') AS "NORMAL",
         count(*) FILTER (y_pred = 'PROMPT_INJECTION') AS "PROMPT_INJECTION", count(*) FILTER (y_pred = 'JAILBREAK') AS "JAILBREAK"
         FROM classes c LEFT JOIN (SELECT * FROM preds WHERE model = 'phrases') p ON p.y_true = c.label GROUP BY c.label""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -589,6 +591,37 @@ def model_intent_counts(spark, sf_dir):
     return scored.groupBy("intent_label").agg(F.count("*").alias("prompts"))
 
 
+#: A small linear model: term, idf, and a coefficient per class; then the intercepts.
+FIXED_TERMS = [("the", 1.1, 0.4, 0.1, -0.2), ("of", 1.3, 0.3, -0.1, 0.2), ("de", 1.5, -0.2, 0.6, 0.1), ("der", 1.7, 0.1, -0.3, 0.5),
+               ("in the", 2.1, 0.2, 0.4, 0.3), ("ignore", 2.9, -1.5, 2.5, 0.2), ("previous instructions", 3.1, -1.0, 2.0, 0.1),
+               ("dan mode", 3.3, -1.2, 0.1, 2.7), ("safety", 2.7, -0.6, 0.3, 1.9), ("system", 2.3, -0.4, 1.4, 0.3)]
+FIXED_INTERCEPTS = [0.53, 0.21, 0.17]
+
+
+def _fixed_model() -> PipelineModel:
+    terms, idf, *coefficients = (list(c) for c in zip(*FIXED_TERMS))
+    fitted = {"coefficients": coefficients, "intercepts": FIXED_INTERCEPTS}
+    return PipelineModel([models.TfidfFeatures(fitted=json.dumps({"terms": terms, "idf": idf})),
+                          models.LinearClassifier(model=json.dumps(fitted))])
+
+
+@query
+def model_fixed_intent(spark, sf_dir):
+    return model_intent(inputs.prompts(spark, sf_dir).select("prompt_id", "prompt"), "prompt", _fixed_model()).select(
+        "prompt_id", "intent_label", "intent_confidence")
+
+
+@query
+def model_fixed_predictions(spark, sf_dir):
+    return models.predict(_fixed_model(), inputs.labelled(spark, sf_dir))
+
+
+@query
+def scan_with_model(spark, sf_dir):
+    """The scan with a trained model's intent instead of phrases."""
+    return inputs.scanned(spark, sf_dir, scorer=_fixed_model()).select("scan_id", "risk_score", "decision")
+
+
 # --- evaluation ---------------------------------------------------------------
 
 def _one(spark, sf_dir, model="phrases"):
