@@ -82,7 +82,8 @@ def find_licences(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 F.lit(-i).alias("place"), F.lit(name).alias("name")))
             for i, (name, own, low, high) in enumerate(known)])
 
-    found = settle(source, {"bags": F.array_distinct(F.filter(F.transform(words, bigrams), lambda b: F.size(b).between(least, most)))})
+    found = settle(source, {"bags": F.array_distinct(F.transform(
+        F.filter(F.transform(words, bigrams), lambda b: F.size(b).between(least, most)), lambda b: F.array_sort(b)))})
     hits = F.filter(F.flatten(F.transform("bags", scores)), lambda h: h.isNotNull() & (h["score"] >= threshold))
     found = settle(found.drop("text"), {"hits": hits})
     names = list(dict.fromkeys(n for n, _ in templates))

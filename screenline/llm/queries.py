@@ -86,4 +86,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_mixing, op3_repeats, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences)
 }
 
-ORACLE: dict[str, str] = {}
+def _s(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _templates(threshold: float = 0.8) -> str:
+    rows = []
+    for i, (name, text) in enumerate(licences.TEMPLATES):
+        own = licences.template_bigrams(text)
+        low, high = licences.bounds(len(own), threshold)
+        rows.append(f"({i}, {_s(name)}, [{', '.join(map(_s, own))}], {len(own)}, {low}, {high})")
+    return ", ".join(rows)
+
+
+ORACLE: dict[str, str] = {
+    "op2_mixing": """WITH sizes AS (SELECT source, sum(greatest(coalesce(length(text), 0), 1)) AS size FROM documents GROUP BY source),
+rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * 1.0::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE / size::DOUBLE AS rate FROM sizes),
+means AS (SELECT source, CASE WHEN rate > 4 THEN floor(rate)::INTEGER - 3 ELSE 0 END AS whole, rate FROM rates),
+terms AS (SELECT source, whole, k, exp(-(rate - whole) + k * ln(rate - whole) - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(0, 40)) AS k FROM means)),
+below AS (SELECT source, whole, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+cuts AS (SELECT source, any_value(whole) AS whole, list(c) AS cuts FROM below GROUP BY source),
+who AS (SELECT d.*, 'mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null') AS name FROM documents d),
+drawn AS (SELECT w.*, whole + len(list_filter(cuts, lambda c: c <= ('0x' || substr(md5(name), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS copies
+  FROM who w JOIN cuts c ON w.source IS NOT DISTINCT FROM c.source),
+each AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS mix_copy FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, mix_copy, md5(name || '|' || mix_copy) AS mix_order FROM each""",
+    "op10_licences": f"""WITH templates(i, name, own, n, low, high) AS (VALUES {_templates()}),
+low AS (SELECT doc_id, translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}') AS t FROM documents),
+units AS (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[ \\t]*\\n'))) AS unit FROM low),
+words AS (SELECT doc_id, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+bags AS (SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS bag FROM words
+  WHERE len(w) > (SELECT min(low) FROM templates)),
+hits AS (SELECT doc_id, i, name, 2.0::DOUBLE * len(list_intersect(bag, own)) / (len(bag) + n) AS score
+  FROM bags JOIN templates ON len(bag) BETWEEN low AND high),
+good AS (SELECT * FROM hits WHERE score >= 0.8),
+names AS (SELECT doc_id, string_agg(name, ',' ORDER BY seat) AS licences FROM (SELECT doc_id, name, min(i) AS seat FROM good GROUP BY doc_id, name) GROUP BY doc_id),
+best AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM good)
+SELECT d.doc_id, coalesce(licences, '') AS licences, name AS best, round(score, 6) AS best_score, coalesce(n, 0)::INTEGER AS n_units
+FROM documents d LEFT JOIN names USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = d.doc_id""",
+}
