@@ -24,7 +24,8 @@ from screenline.session import build_session  # noqa: E402
 HEADLINE = [
     "text_normalized", "rule_hits_count", "intent_keyword", "pii_entities", "scan_decisions", "scan_signals",
     "scan_redacted", "events_latest", "events_by_threat", "events_search", "dataset_union_dedup", "dataset_split_counts",
-    "vocab_top", "class_metrics", "leak_rate", "latency_summary", "risk_grid",
+    "vocab_top", "tfidf_terms", "class_metrics", "leak_rate", "latency_summary", "risk_grid", "event_log_roundtrip", "scan_stream_counts",
+    "model_fixed_intent", "train_lr",
 ]
 
 
