@@ -13,11 +13,13 @@ classes of different components:
 
 1. every class against the most central class among those of its buckets,
 2. against the most central class of each of its buckets,
-3. the pairs left over, if neither bound below excludes them:
+3. the pairs left over, if no bound below excludes them:
    * shingles that no other open class has cannot be shared: with u of them, a
      class shares |x| - u at most;
    * Jaccard distance is a metric, so known distances to central classes bound
-     the distance of a pair.
+     the distance of a pair;
+   * signatures agree in too few coordinates (a pair listed in its first common
+     bucket alone).
 
 Each link is confirmed on the full sets. Tables between rounds lie in the shared
 folder.
@@ -38,6 +40,9 @@ from screenline.session import work_dir
 WORDS = 5
 PLACES = 1 << 20
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band with a chance of 3e-7
+DIGITS = BANDS * ROWS // 16
+#: Coordinates whose last 4 bits agree: a pair at 0.85 has fewer with a chance of 1e-6, like no common band.
+AGREE = 140
 BLOCK = 2048  # shingles whose slices are held at once
 
 _ranks: list[np.ndarray] = []
@@ -73,6 +78,12 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return mix((parts * factors).sum(axis=2, dtype=np.uint64) + random_words(BANDS, 23)).view(np.int64)
 
 
+def digits(signature: np.ndarray) -> np.ndarray:
+    """The last 4 bits of each coordinate, 16 to an integer."""
+    small = (signature & np.uint32(15)).astype(np.uint64).reshape(len(signature), -1, 16)
+    return (small << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in ascending order, and where each text's begin."""
     words = Words(*text_bytes(column), lower=True)
@@ -95,11 +106,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             values, at = shingle_sets(part.column("text"))
-            bands = band_hashes(signatures(values, at))
+            signed = signatures(values, at)
+            bands, marks = band_hashes(signed), digits(signed)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(set_keys(values, at), pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * BANDS, pa.int32()), pa.array(bands.ravel()))],
-                names=["row", "doc_id", "n_shingles", "key", "bands"])
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * BANDS, pa.int32()), pa.array(bands.ravel())),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * DIGITS, pa.int32()), pa.array(marks.ravel()))],
+                names=["row", "doc_id", "n_shingles", "key", "bands", "digits"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +176,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     """row, doc_id, n_shingles and first (doc_id and row of the component's first row) of source (row, doc_id, text)."""
-    rows = keep(source.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, key binary, bands array<long>"))
+    rows = keep(source.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, key binary, bands array<long>, digits array<long>"))
     classes = keep(rows.filter("n_shingles > 0").groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("bands").alias("bands")))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.first("bands").alias("bands"), F.first("digits").alias("digits")))
     members = classes.select("key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = keep(members.join(shared, "bucket"))
@@ -209,7 +222,7 @@ def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     rest = still_open(roots)
     apart = tested.union(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"),
                                       (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("gap")).distinct()
-    left = _left_over(rest, sets, anchors, apart, percent, keep)
+    left = _left_over(rest.join(classes.select("key", "bands", "digits"), "key"), sets, anchors, apart, percent, keep)
     late = linked(keep(_verified(left.join(apart, ["a", "b"], "left_anti"), sets)))
     if late.limit(1).count():
         roots = components(links.union(late), keep).withColumnsRenamed({"node": "key"})
@@ -237,8 +250,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _unequal(x):
+    """One bit for each group of 4 bits that holds any."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+
+
 def _left_over(rest: DataFrame, sets: DataFrame, anchors: DataFrame, apart: DataFrame, percent: int, keep) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that neither bound excludes."""
+    """Pairs (a, b) of one bucket and different components that no bound excludes."""
     keys = rest.select("key").distinct()
     open_sets = sets.join(keys, "key", "left_semi")
     alone = open_sets.select("key", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key"))
@@ -247,13 +266,17 @@ def _left_over(rest: DataFrame, sets: DataFrame, anchors: DataFrame, apart: Data
     # 100 c >= p (x + y - c) is c (100 + p) >= p (x + y); c is at most x - alone and y - alone, and y is at least c
     facts = facts.withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).filter(F.col("most") * 100 >= percent * F.col("n"))
     facts = keep(facts.select("key", "n", "most", "anchor", "far"))
-    m = keep(rest.select("bucket", "key", "root").join(facts, "key"))
-    x = m.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "n", "most", "anchor", "far")])
-    y = m.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "n", "most", "anchor", "far")])
+    m = keep(rest.join(facts, "key"))
+    names = ("key", "root", "n", "most", "anchor", "far", "bands", "digits")
+    x = m.select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
+    y = m.select("bucket", *[F.col(c).alias(f"{c}_y") for c in names])
     room = F.least("most_x", "most_y") * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
     limit = 1 - percent / 100 + 1e-9
     near = F.coalesce((F.col("anchor_x") != F.col("anchor_y")) | (F.abs(F.col("far_x") - F.col("far_y")) <= limit), F.lit(True))
-    cross = x.join(y, "bucket").filter(F.col("key_x") > F.col("key_y")).filter(F.col("root_x") != F.col("root_y")).filter(room & near)
+    agree = sum((16 - F.bit_count(_unequal(F.get("digits_x", F.lit(i)).bitwiseXOR(F.get("digits_y", F.lit(i))))) for i in range(DIGITS)), F.lit(0))
+    once = F.col("bucket") == F.array_min(F.array_intersect("bands_x", "bands_y"))
+    new = (F.col("key_x") > F.col("key_y")) & (F.col("root_x") != F.col("root_y"))
+    cross = x.join(y, "bucket").filter(new & room & near & (agree >= AGREE) & once)
     cross = cross.select("key_x", "key_y", "anchor_x", "anchor_y", "far_x", "far_y").distinct()
     cross = cross.withColumns({"a": F.greatest("anchor_x", "anchor_y"), "b": F.least("anchor_x", "anchor_y")}).join(apart, ["a", "b"], "left")
     seen = F.coalesce(F.col("gap") - F.col("far_x") - F.col("far_y") <= limit, F.lit(True))
