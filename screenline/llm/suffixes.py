@@ -37,6 +37,7 @@ SPAN = 100  # bytes of a string that counts as a repeat
 GRAM = 50
 SHIFTS = SPAN - GRAM + 1
 PART_BYTES = 16 << 20  # bytes of text per part of the exchanges
+LEAST_PARTS = 64
 HOT = 5000  # occurrences from which a gram's windows are sent one by one
 
 _BYTE = random_words(256, 51)
@@ -146,7 +147,7 @@ def _repeated(hot: int):
 # 2. sorted, front-coded runs of suffixes --------------------------------------------------------------------
 
 _RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("n", pa.int64()), ("lcp", pa.binary()), ("size", pa.binary()),
-                   ("rest", pa.binary()), ("left", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("place", pa.binary())])
+                   ("rest", pa.binary()), ("left", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("who", pa.binary()), ("place", pa.binary())])
 SUFFIXES, DIGESTS, COVERED = 0, 1, 2
 
 
@@ -290,7 +291,7 @@ def _runs_of(some: pa.RecordBatch, parts: int) -> list[tuple]:
         lcp, rest = front_code([i[0] for i in items])
         left = b"".join(i[1].rjust(SPAN - GRAM, b"\0") for i in items)
         sizes = np.array([(len(r), len(i[1])) for r, i in zip(rest, items, strict=True)], np.uint8).tobytes()
-        out.append((part, SUFFIXES, len(items), np.array(lcp, np.uint8).tobytes(), sizes, b"".join(rest), left, *_who([i[2:] for i in items])))
+        out.append((part, SUFFIXES, len(items), np.array(lcp, np.uint8).tobytes(), sizes, _squeeze(b"".join(rest)), _squeeze(left), *_who([i[2:] for i in items])))
     by_part = {}
     for key, who in hot.items():
         by_part.setdefault(int.from_bytes(key[:4], "little") % parts, []).append((key, *who))
@@ -299,12 +300,34 @@ def _runs_of(some: pa.RecordBatch, parts: int) -> list[tuple]:
     if covered:
         rows, first, last = map(np.array, zip(*covered, strict=True))
         out.append((int(mix(rows[:1].astype(np.uint64))[0] % np.uint64(parts)), COVERED, len(covered), b"", b"", b"",
-                    last.astype("<i8").tobytes(), b"", rows.astype("<i8").tobytes(), first.astype("<i8").tobytes()))
+                    last.astype("<u4").tobytes(), b"", rows.astype("<i8").tobytes(), b"", first.astype("<u4").tobytes()))
     return out
 
 
 def _who(items: list[tuple[int, int, int]]) -> list[bytes]:
-    return [np.array(c, "<i8").tobytes() for c in zip(*items, strict=True)]
+    """Documents and rows of a run once each, and for every item which of them and where."""
+    known = {pair: i for i, pair in enumerate(dict.fromkeys(i[:2] for i in items))}
+    docs, rows = zip(*known, strict=True)
+    return [np.array(docs, "<i8").tobytes(), np.array(rows, "<i8").tobytes(),
+            np.array([known[i[:2]] for i in items], "<u4").tobytes(), np.array([i[2] for i in items], "<u4").tobytes()]
+
+
+def _whose(runs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, row and place of each item of all runs."""
+    docs, rows = [], []
+    for doc, row, who in zip(runs["doc"].to_pylist(), runs["row"].to_pylist(), runs["who"].to_pylist(), strict=True):
+        index = np.frombuffer(who, "<u4")
+        docs.append(np.frombuffer(doc, "<i8")[index])
+        rows.append(np.frombuffer(row, "<i8")[index])
+    return np.concatenate(docs), np.concatenate(rows), _joined(runs["place"], "<u4").astype(np.int64)
+
+
+def _squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
 
 
 # 3. repeats -------------------------------------------------------------------------------------------------
@@ -314,11 +337,11 @@ def _covers(part: pa.Table) -> pa.Table:
     kinds = part["kind"].to_numpy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     ready = part.filter(pa.array(kinds == COVERED))
-    found.append((_joined(ready["row"], "<i8"), _joined(ready["place"], "<i8"), _joined(ready["left"], "<i8")))
+    found.append((_joined(ready["row"], "<i8"), _joined(ready["place"], "<u4").astype(np.int64), _joined(ready["left"], "<u4").astype(np.int64)))
     digests = part.filter(pa.array(kinds == DIGESTS))
     if digests.num_rows:
         key = np.frombuffer(b"".join(digests["rest"].to_pylist()), "<u8").reshape(-1, 2)
-        doc, row, place = (_joined(digests[c], "<i8") for c in ("doc", "row", "place"))
+        doc, row, place = _whose(digests)
         order = np.lexsort((place, row, doc, key[:, 1], key[:, 0]))
         again = order[1:][(key[order][1:] == key[order][:-1]).all(axis=1)]
         found.append((row[again], place[again], place[again]))
@@ -330,20 +353,22 @@ def _covers(part: pa.Table) -> pa.Table:
 
 
 def _equal_windows(runs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    coded, lefts = [], []
+    coded, had = [], []
     for lcp, size, rest in zip(runs["lcp"].to_pylist(), runs["size"].to_pylist(), runs["rest"].to_pylist(), strict=True):
         sizes = np.frombuffer(size, np.uint8).reshape(-1, 2)
         ends = np.cumsum(sizes[:, 0], dtype=np.int64)
+        rest = _unsqueeze(rest, int(ends[-1]))
         pieces = [rest[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         coded.append((list(lcp), decode(list(lcp), pieces)))
-        lefts.append(sizes[:, 1])
+        had.append(sizes[:, 1])
     run, at, lcp = merge_runs(coded)
     base = np.concatenate([[0], np.cumsum([len(c[1]) for c in coded])])
     order = base[np.array(run)] + np.array(at)
     right = np.array([len(coded[r][1][a]) for r, a in zip(run, at, strict=True)])
-    have = np.concatenate(lefts)[order].astype(np.int64)
-    left = _joined(runs["left"], np.uint8).reshape(-1, SPAN - GRAM)[order]
-    doc, row, place = (_joined(runs[c], "<i8")[order] for c in ("doc", "row", "place"))
+    have = np.concatenate(had)[order].astype(np.int64)
+    lefts = [_unsqueeze(x, n * (SPAN - GRAM)) for x, n in zip(runs["left"].to_pylist(), runs["n"].to_pylist(), strict=True)]
+    left = np.frombuffer(b"".join(lefts), np.uint8).reshape(-1, SPAN - GRAM)[order]
+    doc, row, place = (x[order] for x in _whose(runs))
     lcp = np.array(lcp)
     # rank in the order "earlier": document, row, place
     rank = np.empty(len(order), np.int64)
@@ -409,12 +434,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    parts = max(16, int(total // part_bytes))
+    parts = max(LEAST_PARTS, int(total // part_bytes))
     grams = source.select("row", "text").mapInArrow(_grams(parts), "part int, base long, h binary, near binary, place binary")
     left = grams.groupBy("part").applyInArrow(_repeated(hot), "row long, places binary")
     left = left.groupBy("row").agg(F.collect_list("places").alias("places"))
     runs = source.join(left, "row").select("row", "doc_id", "text", "places").mapInArrow(
-        _runs(parts), "part int, kind tinyint, n long, lcp binary, size binary, rest binary, left binary, doc binary, row binary, place binary")
+        _runs(parts), "part int, kind tinyint, n long, lcp binary, size binary, rest binary, left binary, doc binary, row binary, who binary, place binary")
     covers = runs.groupBy("part").applyInArrow(_covers, "row long, spans binary")
     covers = covers.groupBy("row").agg(F.collect_list("spans").alias("spans"))
 
