@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences of token ids. Each copy of a repeated row is packed for itself."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers that ran the other stages hold their tables too: fewer words are remembered here
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=300_000)
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 2048
-MEMO = 700_000  # distinct words in each of the two generations a worker remembers. Changes no result.
+MEMO = 700_000  # distinct words, about 200 bytes each, in each of the two generations a worker remembers. Changes no result.
 
 
 class WordEncoder:
@@ -27,7 +27,7 @@ class WordEncoder:
     drop spaces; the constructor tests that on the tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, remember: int = MEMO):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,6 +37,7 @@ class WordEncoder:
         for probe in ("some words here", "a  b c", "x, y! 9"):
             if self._ids([probe])[0] != b"".join(self._ids([w for w in probe.split(" ") if w])):
                 raise ValueError("this tokenizer does not work word by word")
+        self.remember = remember
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -48,7 +49,7 @@ class WordEncoder:
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.memo)
         if new:
-            if len(self.memo) > MEMO:
+            if len(self.memo) > self.remember:
                 self.before, self.memo = self.memo, {}
                 new = set(words)
             # words of the last generation move on, so frequent ones are never worked out again
@@ -62,9 +63,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(tokenizer_file: str) -> WordEncoder:
+def encoder(tokenizer_file: str, remember: int = MEMO) -> WordEncoder:
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
+    _encoders[tokenizer_file].remember = remember
     return _encoders[tokenizer_file]
 
 
@@ -81,7 +83,7 @@ def binary_pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, longest: int = LONGEST, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", remember: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, bucket.
 
     `ids` are little-endian unsigned 32-bit integers, `end_id` closes each
@@ -90,6 +92,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, longest: int = L
     bucket. A null or empty text is one piece that holds the end id alone. Equal
     rows are packed each for itself; null ids stay null. Other columns are
     ignored. Nothing is shuffled: a sequence's id is its task and its place there.
+    `remember` bounds a worker's memory and changes no result.
     """
     if longest & (longest - 1):
         raise ValueError("the greatest length must be a power of two")
@@ -98,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, longest: int = L
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file)
+        own = encoder(tokenizer_file, remember)
         gc.disable()  # nothing here is cyclic, and walking the remembered words is dear
         for batch in batches:
             # The pieces of one document may be many: rows are handed on by the number of their ids.

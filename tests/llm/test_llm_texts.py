@@ -126,9 +126,8 @@ def test_packing(spark, cases, nothing):
     assert packing.pack(nothing, WORD_BPE).count() == 0
 
 
-def test_encoder_keeps_generations(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 3)
-    own, plain = packing.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+def test_encoder_keeps_generations():
+    own, plain = packing.WordEncoder(WORD_BPE, remember=3), Tokenizer.from_file(WORD_BPE)
     for text in ("One two THREE's four\nfive  six", "two\tthree <|endoftext|> É é́", "seven one 12 two", "", "  "):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
