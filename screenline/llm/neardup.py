@@ -169,9 +169,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                        F.size("xs").cast("long").alias("na"), F.size("ys").cast("long").alias("nb"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number per row, the same in each pass over a stored table."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, keep) -> DataFrame:
+    """docs with a number per row, written once: numbers made anew change with the splits of the files."""
+    return keep(docs.withColumn("__row", F.monotonically_increasing_id()))
 
 
 def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
@@ -242,11 +242,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have an empty set and no links: each is its own component. Rows with
     equal sets, repeated rows among them, are one component. A null id takes part
     and is greater than all others: it is kept only where no other id is
-    reachable. Other columns are ignored. docs must be a stored table: it is read
-    twice, once more for the sets of candidates.
+    reachable. Other columns are ignored. Ids and texts are written with their
+    numbers before the first pass; docs is read once.
     """
-    source = _numbered(docs).select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = _groups(source, percent, _Shared(docs.sparkSession).keep).withColumn("component_id", F.col("first.doc_id"))
+    keep = _Shared(docs.sparkSession).keep
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = _numbered(source, keep).withColumnRenamed("__row", "row")
+    out = _groups(source, percent, keep).withColumn("component_id", F.col("first.doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -286,9 +288,11 @@ def _left_over(rest: DataFrame, sets: DataFrame, anchors: DataFrame, apart: Data
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of docs, all columns, of which one per component stays: the first of those with the least id.
 
-    Rows without text or words stay. docs must be a stored table: it is read twice.
+    Rows without text or words stay. docs is written with its numbers and read
+    from there, so it is read once.
     """
     keep = _Shared(docs.sparkSession).keep
-    source = _numbered(docs).select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    numbered = _numbered(docs, keep)
+    source = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = keep(_groups(source, percent, keep).filter("row = first.row").select(F.col("row").alias("__row")))
-    return _numbered(docs).join(kept, "__row", "left_semi").drop("__row")
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

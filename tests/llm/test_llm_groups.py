@@ -243,6 +243,30 @@ def test_near_duplicates(spark, cases, nothing):
     assert neardup.near_duplicates(nothing).count() == 0 and neardup.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_with_other_splits_in_each_pass(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(60)]
+    docs = [(i, texts[i % 60]) for i in range(150)]
+    data = stored(spark, [row(i, t) for i, t in docs])
+    plain, option = neardup._Shared.keep, "spark.sql.files.minPartitionNum"
+
+    def keep(self, df):
+        out = plain(self, df)
+        spark.conf.set(option, "40" if self.n % 2 else "1")
+        return out
+    monkeypatch.setattr(neardup._Shared, "keep", keep)
+    try:
+        for first in ("1", "40"):
+            spark.conf.set(option, first)
+            got = neardup.near_duplicates(data).collect()
+            assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(docs)
+            spark.conf.set(option, first)
+            stay = neardup.drop_near_duplicates(data).select("doc_id", "text").collect()
+            assert sorted(map(tuple, stay)) == docs[:60]
+    finally:
+        spark.conf.unset(option)
+
+
 def test_components_of_paths(spark):
     from screenline.session import work_dir
 
