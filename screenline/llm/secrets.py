@@ -25,11 +25,11 @@ _HEX = re.compile(r"[0-9a-f]+")
 # Every access or hex match lies in such a run, and every candidate of the token test is one.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
+WORD_RATIO = 3  # characters per token from which letters are taken for words
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hex digits of common digests
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-_PLAIN = re.compile(r"[A-Za-z]+\Z|[0-9]+\Z|[^A-Za-z0-9]+\Z")
 
 _encodings: dict[tuple[str, str], object] = {}
 
@@ -46,13 +46,16 @@ def encoding(ranks_file: str, pattern: str):
     return _encodings[key]
 
 
-def known_shape(run: str) -> bool:
-    """Digests, UUIDs, plain words or numbers, and identifiers made of word-like parts."""
-    if len(run) in DIGEST_LENGTHS and _DIGEST.match(run) or _UUID.match(run) or _PLAIN.match(run):
+def known_shape(run: str, encode) -> bool:
+    """Digests, UUIDs, numbers, access keys of letters alone, and identifiers: mostly letters, in parts that are words to the vocabulary."""
+    if len(run) in DIGEST_LENGTHS and _DIGEST.match(run) or _UUID.match(run) or not re.search("[A-Za-z]", run):
         return True
-    parts = _PARTS.findall(run)
-    words = sum(len(p) for p in parts if len(p) >= 4 and p.isalpha())
-    return 10 * words >= 6 * len(run) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run)
+    if run.isalpha() and _ACCESS.fullmatch(run):  # found as `access` from end to end, so nothing is lost
+        return True
+    parts = [p.lower() for p in _PARTS.findall(run) if p.isalpha()]
+    letters = sum(map(len, parts))
+    # the length of a part says nothing: random letters stand together by chance, but need a token for every other one
+    return 10 * letters >= 6 * len(run) and letters >= WORD_RATIO * sum(len(encode(p)) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,7 +74,7 @@ def random_spans(text: str, encode, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in _RUN.finditer(text):
         run = m[0].strip("=-/+_")
-        if len(run) >= 20 and not known_shape(run) and len(run) <= ratio * len(encode(run)):
+        if len(run) >= 20 and len(run) <= ratio * len(encode(run)) and not known_shape(run, encode):
             begin = m.start() + m[0].index(run)
             found.append((begin, 3, begin + len(run)))
     return found
@@ -83,7 +86,7 @@ def find_secrets(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "
 
     `assign`, `access` and `hex` are the known shapes, leftmost and
     non-overlapping per kind; `random` are the runs that fail the token test and
-    are no digest, UUID, number, word or identifier. A null or empty text has no
+    are no digest, UUID, number or identifier of words. A null or empty text has no
     spans. Each row has its own result; ids may repeat or be null. Other columns
     are ignored. Nothing is shuffled.
     """

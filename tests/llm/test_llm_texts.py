@@ -102,6 +102,22 @@ def test_secrets(spark, cases, nothing):
     assert secrets.redact_secrets(nothing, RANKS, public_tokenizers.PATTERN).schema == nothing.schema
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                                      "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_one_case_are_found(alphabet):
+    rng, encode = random.Random(9), secrets.encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([20, 32, 40, 64]))) for _ in range(400)]
+    missed = [t for t in texts if secrets.random_spans(t, encode, 2.2) != [(0, 3, len(t))]]
+    assert len(missed) <= 8, missed
+
+
+def test_identifiers_are_no_secrets():
+    encode = secrets.encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary
+    for text in ("THIS_IS_A_CONSTANT_NAME_IN_JAVA", "ConcurrentHashMapSegmentFactory", "user_profile_backup_2024_final_version", "01234567890123456789",
+                 "2024-01-02/2024-01-03/2024-01-04", "org/apache/spark/sql/catalyst/expressions", "Donaudampfschifffahrtsgesellschaft"):
+        assert secrets.random_spans(text, encode, 2.2) == []
+
+
 def test_packing(spark, cases, nothing):
     plain = Tokenizer.from_file(WORD_BPE)
     got = packing.pack(cases, WORD_BPE, longest=256).collect()
