@@ -32,10 +32,15 @@ BITS = 63
 
 
 def enough_for(total: int) -> int:
-    """Vectors at which a tree stops ascending: grows less than the table, so that recall holds as it grows."""
+    """Vectors at which a tree stops ascending: grows less than the table, which `trees_for` makes up for."""
     return max(100, math.ceil(200 * (total / 10_000) ** 0.75))
 
 
+def trees_for(total: int) -> int:
+    """Trees: more as a tree's budget becomes a smaller share of the table, so that recall stays above 0.9."""
+    return math.ceil(TREES * max(1, total / 60_000) ** 0.1)
+
+
 def planes(dim: int, trees: int, seed: int = 41) -> np.ndarray:
     """Normals of the hyperplanes: trees x BITS x dim, from a hash of their place."""
     pairs = random_words(2 * trees * BITS * dim, seed).astype(np.float64) / 2.0 ** 64
@@ -73,7 +78,7 @@ def stretch(strings: np.ndarray, query: int, enough: int) -> tuple[int, int]:
         free += 1
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES,
+def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int | None = None,
             enough: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k nearest found, by cosine in double precision.
 
@@ -104,7 +109,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     asks = rows.filter("asks").select("key", "id").distinct().join(single, "key")
     queries = keep(asks.select(F.col("id").alias("query_id"), "least", "v"), "queries")
     total = single.count()
-    enough = enough or enough_for(total)
+    enough, trees = enough or enough_for(total), trees or trees_for(total)
     depth = max(0, math.ceil(math.log2(max(total, 1) / (8 * enough))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
