@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, suffixes, tokens, toxicity
+from screenline.llm import licences, mixing, neardup, neighbours, packing, quality, ranking, secrets, suffixes, threshold, tokens, toxicity, trie
 from screenline.sources.tables import read_table
 
 TOKEN_LIMIT = 4096
@@ -82,8 +82,26 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licences", F.array_join("licences", ","))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    found = ranking.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+def op12_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, among all others."""
+    found = threshold.top_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_repeats, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_repeats, op4_secrets, op5_packing, op6_neighbours, op7_quality, op8_toxicity, op9_near_duplicates, op10_licences,
+                             op11_ranking, op12_products, op13_prefix_trie)
 }
 
 def _s(text: str) -> str:
@@ -124,4 +142,42 @@ names AS (SELECT doc_id, string_agg(name, ',' ORDER BY seat) AS licences FROM (S
 best AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM good)
 SELECT d.doc_id, coalesce(licences, '') AS licences, name AS best, round(score, 6) AS best_score, coalesce(n, 0)::INTEGER AS n_units
 FROM documents d LEFT JOIN names USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = d.doc_id""",
+    "op11_ranking": """WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]|[^\x00-\x7F]') AS z,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') AS terms FROM documents),
+docs AS (SELECT doc_id, row_number() OVER () AS r, len(terms)::BIGINT AS n, terms FROM cut WHERE len(terms) > 0 AND doc_id IS NOT NULL),
+whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+counted AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term),
+weighed AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, whole),
+wanted AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+items AS (SELECT item_id, term, count(*)::BIGINT AS c FROM wanted GROUP BY item_id, term),
+scored AS (SELECT item_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))))::BIGINT AS score
+  FROM items JOIN weighed USING (term) JOIN counted USING (term) JOIN docs USING (r), whole GROUP BY item_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_products": """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_prefix_trie": """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+crcs AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y)), 4294967295::BIGINT) % 4 AS h FROM lists),
+built AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS s
+  FROM crcs c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 20),
+seqs AS (SELECT s, count(*) AS n, min(conv_id) AS least, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM built GROUP BY s),
+steps AS (SELECT s, n, least, unnest(range(0, len(s) + 1)) AS depth FROM seqs),
+nodes AS (SELECT depth, list_slice(s, 1, depth) AS p, min(least) AS conv_id, sum(n)::BIGINT AS n_convs FROM steps GROUP BY ALL),
+kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+saves AS (SELECT depth, p, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^\x20\x09-\x0D]+')) END AS saved,
+  CASE WHEN p IN (SELECT p FROM kids) THEN 0 ELSE 1 END AS leaf FROM nodes),
+above AS (SELECT list_slice(p, 1, d) AS p, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves
+  FROM (SELECT p, saved, leaf, unnest(range(0, depth + 1)) AS d FROM saves) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves, a.saved_tokens,
+  coalesce(e.ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN above a ON a.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN seqs e ON e.s = n.p
+LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = list_slice(n.p, 1, n.depth - 1)""",
 }
