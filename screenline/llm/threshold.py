@@ -97,22 +97,21 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_
     lengths = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = lengths["dim"] if lengths else 1
     rows = rows.filter(F.size("x") == dim).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("x"), F.coalesce("asks", F.lit(False)).alias("asks"))
-    rows = rows.withColumn("key", F.sha2(F.array_join("x", ",").cast("binary"), 256))
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.array_join("x", ",").cast("binary"), 256)))
     # equal vectors: the k + 1 least ids are all that any answer needs; the limit also holds before the exchange
     first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     few = keep(rows.select("key", "id", "x").dropDuplicates(["key", "id"]).withColumn("r", first).filter(F.col("r") <= k + 1), "few")
     single = few.filter("r = 1").select("key", F.col("id").alias("least"), "x")
-    ids = few.select("key", "id").join(single.select("key", "least"), "key").select(F.col("least").alias("found"), F.col("id").alias("vec_id"))
-    asks = rows.filter("asks").select("key", "id").distinct().join(single.select("key", "least"), "key")
-    queries = keep(asks.select(F.col("id").alias("query_id"), F.col("least").alias("asked")), "queries")
+    ids = few.select(F.col("key").alias("found"), F.col("id").alias("vec_id"))
+    queries = keep(rows.filter("asks").select(F.col("id").alias("query_id"), F.col("key").alias("asked")).distinct(), "queries")
 
     blocks = max(1, math.ceil(single.count() / block))
-    asked = single.join(queries.select(F.col("asked").alias("least")).distinct(), "least", "left_semi")
+    asked = single.join(queries.select(F.col("asked").alias("key")).distinct(), "key", "left_semi")
     chunks = max(1, math.ceil(queries.count() / chunk))
-    deal = lambda n, seed: F.pmod(F.xxhash64("least", F.lit(seed)), F.lit(n)).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    have = single.select("least", "x", F.lit(False).alias("asks"), deal(blocks, 1).alias("block"), each(chunks).alias("chunk"))
-    want = asked.select("least", "x", F.lit(True).alias("asks"), each(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
+    have = single.select("key", "least", "x", F.lit(False).alias("asks"), deal(blocks, 1).alias("block"), each(chunks).alias("chunk"))
+    want = asked.select("key", "least", "x", F.lit(True).alias("asks"), each(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
 
     def walk(group: pa.Table) -> pa.Table:
         is_ask = np.asarray(group.column("asks"))
@@ -121,16 +120,19 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_
         kind = _exact(x, q, dim)
         x, q, least = x.astype(kind), q.astype(kind), np.asarray(own.column("least"))
         lists = sorted_lists(x)
-        out: list[tuple] = []
-        for asker, one in zip(ask.column("least").to_pylist(), q, strict=True) if len(x) else ():
-            found, scores, _ = best_rows(x, lists, least, one, k + 1)  # one may be the query's own vector
-            out += [(asker, i, max(-LARGEST - 1, min(LARGEST, int(s)))) for i, s in zip(least[found].tolist(), scores.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("asked", "found", "score"), columns, strict=True)})
-
-    met = have.union(want).groupBy("block", "chunk").applyInArrow(walk, "asked long, found long, score long")
+        asker, found, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for i, one in enumerate(q) if len(x) else ():
+            best, scores, _ = best_rows(x, lists, least, one, k + 1)  # one may be the query's own vector
+            asker.append(np.full(len(best), i))
+            found.append(best)
+            score += [max(-LARGEST - 1, min(LARGEST, int(s))) for s in scores.tolist()]
+        found = np.concatenate(found)
+        return pa.table({"asked": ask.column("key").take(pa.array(np.concatenate(asker))), "found": own.column("key").take(pa.array(found)),
+                         "least": pa.array(least[found], pa.int64()), "score": pa.array(score, pa.int64())})
+
+    met = have.union(want).groupBy("block", "chunk").applyInArrow(walk, "asked binary, found binary, least long, score long")
     # the k + 1 best vectors of each query vector, then the k + 1 best ids among theirs, then the query's own goes
-    top = _best(met, ["asked"], "found", k + 1).join(ids, "found").select("asked", "vec_id", "score")
+    top = _best(met, ["asked"], "least", k + 1).join(ids, "found").select("asked", "vec_id", "score")
     top = _best(top, ["asked"], "vec_id", k + 1)
     answers = queries.join(top, "asked").filter("vec_id <> query_id")
     return _best(answers, ["query_id", "asked"], "vec_id", k, "rank").select("query_id", "rank", "vec_id", "score")
