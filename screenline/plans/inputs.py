@@ -51,11 +51,20 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_batch(timed_prompts(spark, sf_dir))
 
 
+#: Buckets of the id tables here: each holds some thousand ids at most.
+LOG_BUCKETS = 8
+
+
+def logged(spark: SparkSession, sf_dir: str, purpose: str) -> str:
+    """The events, written to a fresh log; its path."""
+    log = work_dir(spark, purpose)
+    append_events(scan_events(spark, sf_dir), log, LOG_BUCKETS)
+    return log
+
+
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events, written to a log and read from there."""
-    log = work_dir(spark, "stored-log")
-    append_events(scan_events(spark, sf_dir), log)
-    return read_events(spark, log)
+    return read_events(spark, logged(spark, sf_dir, "stored-log"))
 
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:

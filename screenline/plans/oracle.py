@@ -344,6 +344,10 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'threat', threat, count(*) FROM threat_rows WHERE prompt_id IN (SELECT prompt_id FROM events_scanned) GROUP BY threat""",
     "event_log_roundtrip": SCAN + """SELECT strftime(at_time, '%Y-%m-%d') AS event_day, decision, count(*) AS events,
         sum(len(pii))::BIGINT AS entities FROM events_scanned GROUP BY ALL""",
+    "event_log_other_day": SCAN + """SELECT scan_id, CASE WHEN prompt_id % 3 <> 0 THEN timestamp
+        ELSE strftime(at_time + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') END AS timestamp, decision FROM events_scanned""",
+    "events_find": SCAN + """SELECT scan_id, risk_score, decision FROM events_scanned
+        WHERE prompt_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "event_json": SCAN + """, listed AS (SELECT prompt_id, list(threat ORDER BY seat) AS threats FROM threat_rows GROUP BY prompt_id),
         counted AS (SELECT prompt_id, count(*) AS n FROM signal_rows GROUP BY prompt_id)
         SELECT scan_id, coalesce('["' || array_to_string(threats, '","') || '"]', '[]') AS threats_json,

@@ -19,11 +19,11 @@ from screenline.functions.values import (
 from screenline.operators import benchmark, dataset, evaluation, events, features, models, pii, rules
 from screenline.operators.intent import keyword_intent, model_intent
 from screenline.operators.sampling import sample_n, stratified_split
-from screenline.operators.scan import case_rates, case_report
+from screenline.operators.scan import case_rates, case_report, scan_batch
 from screenline.plans import inputs
 from screenline.session import work_dir
 from screenline.sources.corpora import SourceSpec, load_source
-from screenline.sources.event_log import append_events, ensure_event_log, read_events
+from screenline.sources.event_log import append_events, ensure_event_log, find_events, read_events
 from screenline.sources.intake import intake
 from screenline.sources.results import read_confusion, read_metrics, write_confusion, write_metrics
 from screenline.sources.splits import read_split, write_splits
@@ -298,8 +298,7 @@ def scan_stream_counts(spark, sf_dir):
 @query
 def events_stream_counts(spark, sf_dir):
     """Running dashboard counts over a log that is read as a stream."""
-    log = work_dir(spark, "live-log")
-    append_events(inputs.scan_events(spark, sf_dir), log)
+    log = inputs.logged(spark, sf_dir, "live-log")
     stream = spark.readStream.schema(read_events(spark, log).schema).parquet(log)
     name = "live_counts_" + log.rsplit("-", 1)[1]
     live_counts(stream, name, work_dir(spark, "live-checkpoint"), once=True).awaitTermination()
@@ -312,13 +311,37 @@ def events_stream_counts(spark, sf_dir):
 def event_log_roundtrip(spark, sf_dir):
     """Append the same batch twice; the log holds it once."""
     log = work_dir(spark, "event-log")
-    ensure_event_log(spark, log)
+    ensure_event_log(spark, log, inputs.LOG_BUCKETS)
     for _ in range(2):
         append_events(inputs.scan_events(spark, sf_dir), log)
     return read_events(spark, log).groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day"), "decision").agg(
         F.count("*").alias("events"), F.sum(F.size("pii")).alias("entities"))
 
 
+def _later(prompts, days=1):
+    return prompts.withColumn("event_ts", F.timestamp_add("DAY", F.lit(days), F.col("event_ts")))
+
+
+@query
+def event_log_other_day(spark, sf_dir):
+    """Two thirds of the prompts are logged, then all of them a day later: each id keeps its first day."""
+    log = work_dir(spark, "two-days")
+    prompts = inputs.timed_prompts(spark, sf_dir)
+    append_events(scan_batch(prompts.filter(F.pmod(F.col("prompt_id"), F.lit(3)) != 0)), log, inputs.LOG_BUCKETS)
+    append_events(scan_batch(_later(prompts)), log)
+    return read_events(spark, log).select("scan_id", utc_iso(F.col("timestamp")).alias("timestamp"), "decision")
+
+
+@query
+def events_find(spark, sf_dir):
+    """Events of the ids of all prompts of toxic documents, by the log's id table."""
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("prompt_id"))
+    log = inputs.logged(spark, sf_dir, "found-log")
+    wanted = inputs.prompts(spark, sf_dir).join(toxic, "prompt_id", "left_semi").select(
+        scan_id(F.lit("prompts"), F.col("prompt_id").cast("string"), F.col("prompt")).alias("scan_id"))
+    return find_events(spark, log, wanted).select("scan_id", "risk_score", "decision")
+
+
 @query
 def event_json(spark, sf_dir):
     """Lists to JSON text and back."""
