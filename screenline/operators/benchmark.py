@@ -69,23 +69,27 @@ def exact_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> lis
     pass counts the values of a fixed number of equal ranges around each wanted
     rank, with their least and greatest value, and goes on within the range that
     holds the rank, until that holds a single value. The driver sees no more than
-    the counts of one pass.
+    the counts of one pass. Infinite values count at their end.
     """
     values = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    # infinite values have a rank but no place in a range: they are counted apart
+    whole = values.agg(
+        F.count("*").alias("n"), F.count_if(F.col("v") == -math.inf).alias("least"), F.count_if(F.col("v") == math.inf).alias("most"),
+        F.min(F.when(F.abs("v") < math.inf, F.col("v"))).alias("low"), F.max(F.when(F.abs("v") < math.inf, F.col("v"))).alias("high")).first()
     if not whole["n"]:
         return [None for _ in points]
+    values = values.filter(F.abs("v") < math.inf)
     ranks = [(whole["n"] - 1) * p / 100 for p in points]
-    found: dict[int, float] = {}
+    wanted = {int(f(r)) for r in ranks for f in (math.floor, math.ceil)}
+    finite = {r for r in wanted if whole["least"] <= r < whole["n"] - whole["most"]}
+    found: dict[int, float] = {r: -math.inf if r < whole["least"] else math.inf for r in wanted - finite}
     # range of values, rows below it: the ranks that lie in it
-    todo = {(whole["low"], whole["high"], 0): {int(f(r)) for r in ranks for f in (math.floor, math.ceil)}}
+    todo = {(whole["low"], whole["high"], whole["least"]): finite} if finite else {}
     while todo:
         spans = list(todo)
         # spans are whole, or ranges of one pass, so none overlaps another
         part = F.coalesce(*[F.when(F.col("v").between(low, high), F.lit(i)) for i, (low, high, _) in enumerate(spans)])
-        # halves, lest the width of a range overflow
-        place = [F.floor((F.col("v") / 2 - low / 2) / max(high / 2 - low / 2, 5e-324) * _BUCKETS) for low, high, _ in spans]
-        bucket = F.element_at(F.array(*[F.least(F.greatest(p, F.lit(0)), F.lit(_BUCKETS - 1)).cast("int") for p in place]), F.col("part") + 1)
+        bucket = F.element_at(F.array(*[_range_of(low, high) for low, high, _ in spans]), F.col("part") + 1)
         counts = (values.withColumn("part", part).filter("part is not null").withColumn("bucket", bucket)
                   .groupBy("part", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
         later: dict[tuple[float, float, int], set[int]] = {}
@@ -99,7 +103,25 @@ def exact_percentiles(df: DataFrame, value: str, points: Sequence[float]) -> lis
                     later[row["low"], row["high"], below] = inside
                 below += row["n"]
         todo = later
-    return [found[math.floor(r)] + (found[math.ceil(r)] - found[math.floor(r)]) * (r - math.floor(r)) for r in ranks]
+    return [_between(found[math.floor(r)], found[math.ceil(r)], r - math.floor(r)) for r in ranks]
+
+
+def _range_of(low: float, high: float) -> Column:
+    """Which of the equal ranges from low to high a value lies in; low is in the first, high in the last, so every pass narrows."""
+    if low == high:
+        return F.lit(0)
+    if math.isinf(high - low):
+        share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
+    else:
+        share = (F.col("v") - low) / (high - low)
+    return F.least(F.greatest(F.floor(share * _BUCKETS), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
+
+
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation; next to an infinite value it is that value, and between both infinities NaN."""
+    if share == 0 or a == b:
+        return a
+    return a + (b - a) * share if math.isfinite(b - a) else a * (1 - share) + b * share
 
 
 def latency_summary(df: DataFrame, value: str = "duration_ms", seq: str = "seq", warmup: int = fixed.LATENCY_WARMUP,

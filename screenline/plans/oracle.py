@@ -365,6 +365,8 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT * FROM threat_rows WHERE prompt_id IN (SELECT prompt_id FROM events_scanned)) t USING (threat) GROUP BY k.threat""",
     "events_search": SCAN + """SELECT scan_id, risk_score, timestamp FROM events_scanned WHERE decision = 'BLOCK'
         AND (contains(lower(prompt), 'previous instructions') OR contains(lower(scan_id), 'previous instructions'))""",
+    "events_search_indexed": SCAN + """SELECT scan_id, risk_score, timestamp FROM events_scanned WHERE decision = 'BLOCK'
+        AND (contains(lower(prompt), 'previous instructions') OR contains(lower(scan_id), 'previous instructions'))""",
     "events_search_id": SCAN + """SELECT scan_id, decision FROM events_scanned
         WHERE contains(lower(prompt), '-ab') OR contains(lower(scan_id), '-ab')""",
     "events_signals": SCAN + """SELECT scan_id, risk_score, CASE WHEN type IS NOT NULL

@@ -22,6 +22,7 @@ from screenline.operators.sampling import sample_n, stratified_split
 from screenline.operators.scan import case_rates, case_report, scan_batch
 from screenline.plans import inputs
 from screenline.session import work_dir
+from screenline.sources import gram_index
 from screenline.sources.corpora import SourceSpec, load_source
 from screenline.sources.event_log import append_events, ensure_event_log, find_events, read_events
 from screenline.sources.intake import intake
@@ -386,6 +387,19 @@ def events_search(spark, sf_dir):
     return found.select("scan_id", "risk_score", utc_iso(F.col("timestamp")).alias("timestamp"))
 
 
+@query
+def events_search_indexed(spark, sf_dir):
+    """The same search over a log with an index of pieces; a third of its days come after the index."""
+    log = work_dir(spark, "indexed-log")
+    found = inputs.scan_events(spark, sf_dir)
+    late = F.coalesce(F.pmod(F.dayofmonth("timestamp"), F.lit(3)) == 0, F.lit(False))
+    append_events(found.filter(~late), log, inputs.LOG_BUCKETS)
+    gram_index.index_files(spark, log)
+    append_events(found.filter(late), log)
+    return gram_index.search_log(spark, log, "PREVIOUS Instructions", "BLOCK").select(
+        "scan_id", "risk_score", utc_iso(F.col("timestamp")).alias("timestamp"))
+
+
 @query
 def events_search_id(spark, sf_dir):
     return events.search_events(inputs.stored_events(spark, sf_dir), "-AB").select("scan_id", "decision")

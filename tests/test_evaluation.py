@@ -91,3 +91,23 @@ def test_leaks(spark):
     assert (rate["cases"], rate["successes"], rate["phone_like"], rate["success_rate"]) == (4, 2, 1, 0.5)
     assert [r["case_id"] for r in B.leak_failures(checked, 1).collect()] == [1] and B.failures_left_out(checked, 1).first()[0] == 1
     assert B.leak_rate(checked.limit(0)).first()["success_rate"] == 0.0
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, float("inf")], [float("-inf"), float("-inf"), 3.0, 4.0, float("inf")], [float("inf")], [float("-inf"), float("inf")],
+    [0.0, 5e-324], [5e-324, 1e-323, 0.0, 1e-300, 1.0, 1e300], [-1.7e308, 1.7e308, 0.0, 1.0], [7.0], [7.0] * 9, [1.0, 1.0 + 2 ** -52, 1.0 + 2 ** -51],
+    [-0.0, 0.0, -0.0], [2.0 ** -k for k in range(0, 1000, 50)]])
+def test_percentiles_of_any_numbers_end(spark, values):
+    points = [0, 1, 25, 50, 77.7, 95, 100]
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "v double").repartition(3)
+    got = B.exact_percentiles(df, "v", points)
+    ordered = sorted(values)
+    for p, g in zip(points, got, strict=True):
+        rank = (len(ordered) - 1) * p / 100
+        a, b, share = ordered[int(rank)], ordered[min(int(rank) + 1, len(ordered) - 1)], rank - int(rank)
+        if not share or a == b:
+            assert g == a
+        elif a == float("-inf") and b == float("inf"):
+            assert g != g
+        else:
+            assert g == pytest.approx(a * (1 - share) + b * share, rel=1e-9, abs=1e-320)
