@@ -9,6 +9,7 @@ pattern runs twice and unused outputs cost nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from screenline import fixed
 from screenline.functions.settle import settle
 from screenline.functions.text import ascii_form, detector_text, is_ascii, quoted, unicode_form
+from screenline.operators.literals import candidates, needed_literals, packs_of
 
 # Groups of substrings; a match of the rule holds at least one of each group.
 _NEEDED = {
@@ -150,17 +152,52 @@ def load_pack(rules_df: DataFrame) -> tuple[Rule, ...]:
 def rule_hits(df: DataFrame, text_col: str, rules: DataFrame | Sequence[Rule] = BUILTIN) -> DataFrame:
     """One row per text and matching rule, for rule packs of any size.
 
-    Rules become literal patterns, compiled once per task. A large pack is tried
-    in several passes, all with the same forms of the patterns.
+    A small pack becomes literal patterns, compiled once per task. Of a large one
+    an automaton finds the few rules that a text can match, and those alone are
+    tried: one pass over the texts however many rules there are, but for rules
+    that need no literal, which are tried a pass per so many. The same forms of
+    the patterns decide in either way.
     """
     pack = load_pack(rules) if isinstance(rules, DataFrame) else tuple(rules)
     if not pack:
         out = ["name", "threat", "severity", "message"]
         return df.select("*", *[F.lit(None).cast("int" if c == "severity" else "string").alias(c) for c in out]).limit(0)
-    passes = [_hits_of(df, text_col, pack[i:i + _PASS_RULES]) for i in range(0, len(pack), _PASS_RULES)]
+    if len(pack) <= _PASS_RULES:
+        return _hits_of(df, text_col, pack)
+    words = {r: needed_literals(r.pattern) for r in pack}
+    named, rest = [r for r in pack if words[r]], [r for r in pack if not words[r]]
+    passes = [_named_hits(df, text_col, [named[i] for i in own]) for own in packs_of([words[r] for r in named])]
+    passes += [_hits_of(df, text_col, rest[i:i + _PASS_RULES]) for i in range(0, len(rest), _PASS_RULES)]
     return reduce(DataFrame.unionByName, passes)
 
 
+def _named_hits(df: DataFrame, text_col: str, pack: Sequence[Rule]) -> DataFrame:
+    """Hits of rules that need a literal: the automaton names rules, the patterns decide."""
+    keep = [F.col(c) for c in df.columns]
+    df = detector_text(df, text_col, "_low").withColumns({"_plain": is_ascii(F.col("_low")), "_text": _caseless(F.col("_low"))}).drop("_low")
+    df = df.withColumn("_maybe", candidates(F.col("_text"), [needed_literals(r.pattern) for r in pack], range(len(pack))))
+    forms = {"_ascii": [ascii_form(r.pattern) for r in pack], "_wide": [unicode_form(r.pattern) for r in pack]}
+    folded = any(r.folds for r in pack)
+    if folded:
+        forms["_folds"] = [r.folds for r in pack]
+        df = df.withColumn("_folded", F.when(F.col("_plain") | (F.size("_maybe") == 0), F.col("_text")).otherwise(_folded(F.col("_text"))))
+    # one folded literal instead of an expression per rule
+    table = {name: F.from_json(F.lit(json.dumps(values)), f"array<{'boolean' if name == '_folds' else 'string'}>") for name, values in forms.items()}
+
+    def found(i: Column) -> Column:
+        ascii_hit = F.rlike(F.col("_text"), F.get(table["_ascii"], i))
+        hit = F.when(F.col("_plain"), ascii_hit).otherwise(F.rlike(F.col("_text"), F.get(table["_wide"], i)))
+        if folded:
+            hit = F.when(F.get(table["_folds"], i), F.rlike(F.col("_folded"), F.get(table["_ascii"], i))).otherwise(hit)
+        return hit
+
+    rows = [{c: getattr(r, c) for c in ("name", "threat", "severity", "message")} for r in pack]
+    named = F.from_json(F.lit(json.dumps(rows)), "array<struct<name: string, threat: string, severity: int, message: string>>")
+    hits = F.filter("_maybe", found)
+    return df.select(*keep, F.explode(hits).alias("_hit")).select(*keep, F.get(named, F.col("_hit")).alias("_rule")).select(
+        *keep, *[F.col(f"_rule.{c}") for c in ("name", "threat", "severity", "message")])
+
+
 def _hits_of(df: DataFrame, text_col: str, pack: Sequence[Rule]) -> DataFrame:
     keep = [F.col(c) for c in df.columns]
     df, bits, _ = _masks(detector_text(df, text_col, "_low"), "_low", pack)
