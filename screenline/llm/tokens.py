@@ -26,12 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO = 600_000  # entries of each table a worker remembers; beyond, it starts anew. Changes no result.
+MEMO = 450_000  # entries of each table in each of the two generations a worker remembers. Changes no result.
 REMEMBERED = (4, 6, 8, 11, 15)  # prefixes of these lengths are carried on from
 _SEGMENT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
-class _Totals(dict):
+class Recent(dict):
+    """A table of bounded size. When it is full, its entries become the generation before; those used again move on."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict = {}
+
+    def keep(self, key, value):
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def find(self, key):
+        """The entry, or None."""
+        value = self.get(key)
+        if value is None and (value := self.before.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+
+class _Totals(Recent):
     """Tokens of whole segments: the last entry of each one's table."""
 
     def __init__(self, own: PrefixCounter):
@@ -39,10 +61,10 @@ class _Totals(dict):
         self.own = own
 
     def __missing__(self, segment: str) -> int:
-        n = self.own.table(segment)[-1]
-        if len(segment) <= 40:
-            self[segment] = n
-        return n
+        n = self.before.get(segment)
+        if n is None:
+            n = self.own.table(segment)[-1]
+        return self.keep(segment, n) if len(segment) <= 40 else n
 
 
 class PrefixCounter:
@@ -66,9 +88,9 @@ class PrefixCounter:
         # pieces that no merge sequence makes never appear in an encoding
         self.known = {p for p in score if len(p) == 1 or self._merge(p) == [p]}
         self.begins = {p[:i] for p in self.known for i in range(1, len(p) + 1)}
-        self.ending: dict[str, tuple[str, tuple[str, ...]]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[tuple, bytes, str]] = {}
+        self.ending = Recent()  # str -> (str, tuple of tokens)
+        self.fits = Recent()  # (token, token) -> bool
+        self.states = Recent()  # str -> (last tokens, counts, tail)
         self.totals = _Totals(self)
 
     def _merge(self, text: str) -> list[str]:
@@ -88,44 +110,41 @@ class PrefixCounter:
     def _grow(self, segment: str) -> bytes | array:
         """Count at each prefix of a segment, carried on from the longest prefix known already."""
         fits, states, ending = self.fits, self.states, self.ending
-        start = len(segment) - 1
-        while start and segment[:start] not in states:
-            start -= 1
-        last, count, tail = states[segment[:start]] if start else ((), b"", "")
+        start, state = 0, None
+        for start in reversed(REMEMBERED):
+            if start < len(segment) and (state := states.find(segment[:start])):
+                break
+        start = start if state else 0
+        last, count, tail = state or ((), b"", "")
         last, count = list(last), list(count)
         for end in range(start + 1, len(segment) + 1):
             tail += segment[end - 1]
-            tail, tokens = ending.get(tail) or self._end(tail)
+            tail, tokens = ending.find(tail) or self._end(tail)
             if not tokens:  # a character written as its bytes; joins with nothing
                 last.append(None)
                 count.append((count[-1] if count else 0) + len(segment[end - 1].encode("utf-8", "surrogatepass")))
             for token in tokens:
                 begin = end - len(token)
                 if begin and (before := last[begin - 1]) is not None:
-                    good = fits.get((before, token))
+                    good = fits.find((before, token))
                     if good is None:
-                        if len(fits) > MEMO:
-                            fits.clear()
-                        good = fits[before, token] = self._merge(before + token) == [before, token]
+                        good = fits.keep((before, token), self._merge(before + token) == [before, token])
                     if not good:
                         continue
                 last.append(token)
                 count.append((count[begin - 1] if begin else 0) + 1)
                 break
             if end in REMEMBERED:
-                states[segment[:end]] = tuple(last), bytes(count), tail
+                states.keep(segment[:end], (tuple(last), bytes(count), tail))
         return bytes(count) if max(count) < 256 else array("L", count)
 
     def _end(self, tail: str) -> tuple[str, tuple[str, ...]]:
         """The longest ending that begins some token, and the tokens that are endings of it, longest first."""
-        if len(self.ending) > MEMO:
-            self.ending.clear()
         short = tail
         while short and short not in self.begins:
             short = short[1:]
         found = short, tuple(short[i:] for i in range(len(short)) if short[i:] in self.known)
-        self.ending[tail] = found
-        return found
+        return self.ending.keep(tail, found)
 
     def table(self, segment: str) -> bytes | array:
         """Counts at the prefixes of 1, 2, ... code points of a segment as `segments` gives them."""
@@ -136,9 +155,7 @@ class PrefixCounter:
         return self.table_of((segment if segment[:1] == " " else " " + segment).replace(" ", MARK))
 
     def table_of(self, marked: str) -> bytes | array:
-        if len(self.states) > MEMO:
-            self.states.clear()
-        found = self.states.get(marked)
+        found = self.states.find(marked)
         return found[1] if found else self._grow(marked)
 
     @staticmethod
@@ -150,8 +167,6 @@ class PrefixCounter:
         return [s[1:] if s[0] == " " and s[:2] != "  " else s for s in _SEGMENT.findall(" " + text)]
 
     def count(self, text: str) -> int:
-        if len(self.totals) > MEMO:
-            self.totals.clear()
         return sum(map(self.totals.__getitem__, self.segments(text)))
 
     def prefix_counts(self, text: str) -> np.ndarray:
