@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 2048
+GROUP = 1 << 20  # characters of texts that are encoded together
 MEMO = 700_000  # distinct words, about 200 bytes each, in each of the two generations a worker remembers. Changes no result.
 
 
@@ -34,30 +37,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        for probe in ("some words here", "a  b c", "x, y! 9"):
-            if self._ids([probe])[0] != b"".join(self._ids([w for w in probe.split(" ") if w])):
+        for probe in ("some words here", "a  b c", "x, y! 9", "two\nlines\n\n here"):
+            if self._ids([probe])[0] != b"".join(self._ids([w for w in probe.replace("\n", " ").split(" ") if w])):
                 raise ValueError("this tokenizer does not work word by word")
         self.remember = remember
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        new = set(words).difference(self.memo)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Words not known yet are worked out together, in one call."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.memo)
         if new:
             if len(self.memo) > self.remember:
                 self.before, self.memo = self.memo, {}
-                new = set(words)
+                new = set().union(*split)
             # words of the last generation move on, so frequent ones are never worked out again
             known = [w for w in new if w in self.before]
             self.memo.update([(w, self.before[w]) for w in known])
             unknown = list(new.difference(known))
             self.memo.update(zip(unknown, self._ids(unknown), strict=True))
-        return b"".join([self.memo[w] for w in words])
+        ids_of = self.memo.__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
+
+
+def groups(texts: list[str], most: int = GROUP) -> Iterator[list[str]]:
+    """Texts in runs of about `most` characters; a longer one is a run of its own, whole."""
+    run, held = [], 0
+    for text in texts:
+        if run and held + len(text) > most:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text)
+    if run:
+        yield run
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -107,8 +128,9 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, longest: int = L
             # The pieces of one document may be many: rows are handed on by the number of their ids.
             rows: list[tuple] = []
             held = 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = own.encode(text or "") + end
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), chain.from_iterable(map(own.encode_all, groups(texts))), strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, s, k, ids[4 * s:4 * (s + k)], n) for s, k in binary_pieces(n, longest)]
                 held += n
