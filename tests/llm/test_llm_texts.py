@@ -144,8 +144,12 @@ def test_packing(spark, cases, nothing):
 
 def test_encoder_keeps_generations():
     own, plain = packing.WordEncoder(WORD_BPE, remember=3), Tokenizer.from_file(WORD_BPE)
-    for text in ("One two THREE's four\nfive  six", "two\tthree <|endoftext|> É é́", "seven one 12 two", "", "  "):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts = ["One two THREE's four\nfive  six", "two\tthree <|endoftext|> É é́", "seven one 12 two", "", "  ", "a\n\n b\n"]
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    for text, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts * 2)] == want * 2
+    assert [len(g) for g in packing.groups(["aaa", "b", "c" * 9, "", "dd"], 4)] == [2, 1, 2] and not list(packing.groups([]))
 
 
 def plain_stats(text):
@@ -180,6 +184,28 @@ def test_quality_cutoffs():
     assert abs(np.exp(quality.log_tail(40, 2, 0.1)) - brute) < 1e-12
 
 
+def plain_rules(text):
+    words, chars, symbols, dup, again = plain_stats(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    length = max(chars / max(words, 1), 0.001)
+    return {"symbols": min(1000, symbols * 1000 // max(chars, 1)), "dup_lines": dup * 1000 // max(lines, 1), "repeats": again * 1000 // max(words, 1),
+            "word_length": min(1000, int(abs(math.log2(length / 5)) * 200))}
+
+
+def plain_cutoffs(texts, risk, error):
+    """The last cutoff, from lenient to strict, before the exact test first fails."""
+    out = {}
+    for rule in quality.RULES:
+        values = [plain_rules(t)[rule] for t in texts]
+        out[rule] = quality.GRID
+        for cut in sorted(set(values), reverse=True):
+            above, n = sum(v > cut for v in values), len(values)
+            if sum(math.comb(n, k) * risk ** k * (1 - risk) ** (n - k) for k in range(above + 1)) > error:
+                break
+            out[rule] = cut
+    return out
+
+
 def test_quality_verdict(spark, cases, nothing):
     rng = random.Random(2)
     good = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(40)), "en", "s", 0, *["x"] * 9) for i in range(900)]
@@ -188,7 +214,12 @@ def test_quality_verdict(spark, cases, nothing):
     labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(i, 0) for i in range(1000, 1020)] + [(None, 1)], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in quality.judge_quality(stored(spark, good + junk + other), labels, risk=0.08).collect()}
     assert sum(not out[i]["kept"] for i in range(900)) <= 0.08 * 900
-    assert not any(out[1000 + i]["kept"] for i in range(20)) and out[1000]["failed_rules"] == ["symbols"]
+    assert not any(out[1000 + i]["kept"] for i in range(20)) and "symbols" in out[1000]["failed_rules"]
+    cuts = plain_cutoffs([r[1] for r in good], 0.08 / 4, 0.05 / 4)
+    for i, text, lang, *_ in good + junk + other:
+        failed = [r for r in quality.RULES if lang == "en" and plain_rules(text)[r] > cuts[r]]
+        n, repeats = plain_stats(text)[0], plain_stats(text)[4]
+        assert out[i]["failed_rules"] == failed and out[i]["kept"] == (n >= 20 and 100 * repeats <= 30 * n and not failed)
     assert out[2000]["kept"], "a stratum without labels has no cutoffs"
     assert out[2001]["base_failed"] and not out[2001]["kept"]
     assert quality.judge_quality(nothing, labels).count() == 0
