@@ -43,6 +43,8 @@ BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band with a chance of 3e-7
 DIGITS = BANDS * ROWS // 16
 #: Coordinates whose last 4 bits agree: a pair at 0.85 has fewer with a chance of 1e-6, like no common band.
 AGREE = 140
+PLACE = 33  # bits of a row's number that are its place within its part
+BIT_ROWS = 1 << 28  # rows up to which chosen rows are picked by a list of bits, 32 MB then, instead of a join
 BLOCK = 2048  # shingles whose slices are held at once
 
 _ranks: list[np.ndarray] = []
@@ -174,6 +176,30 @@ def _numbered(docs: DataFrame, keep) -> DataFrame:
     return keep(docs.withColumn("__row", F.monotonically_increasing_id()))
 
 
+def _row_bits(rows: DataFrame, chosen: DataFrame, keep) -> DataFrame | None:
+    """part and words: a bit for each of `rows` (numbers), set where it is among `chosen`; none for more rows than BIT_ROWS.
+
+    A number is the part its row was written in and its place there, so that a
+    part's bits are a list without gaps.
+    """
+    if rows.count() > BIT_ROWS:
+        return None
+    at = F.col("row").bitwiseAND(F.lit((1 << PLACE) - 1))
+    marks = rows.select("row", F.lit(0).cast("long").alias("mark")).union(chosen.select("row", F.lit(1).cast("long").alias("mark")))
+    marks = marks.select(F.shiftright("row", PLACE).alias("part"), F.shiftright(at, 6).alias("seat"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"), "mark")
+    words = marks.groupBy("part", "seat").agg(F.bit_or(F.expr("shiftleft(mark, bit)")).alias("word"))
+    lists = words.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seat", "word"))).alias("words"))
+    return keep(lists.select("part", F.col("words.word").alias("words")))
+
+
+def _only(df: DataFrame, bits: DataFrame, row: str = "row") -> DataFrame:
+    """The rows of df whose bit is set. The list of bits is bounded by BIT_ROWS, so it goes to the rows and not these to it."""
+    at = F.col(row).bitwiseAND(F.lit((1 << PLACE) - 1))
+    of = F.broadcast(bits.select(F.col("part").alias("__part"), F.col("words").alias("__words")))
+    is_set = F.bit_get(F.get("__words", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return df.join(of, F.shiftright(row, PLACE) == F.col("__part")).filter(is_set).drop("__part", "__words")
+
+
 def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     """row, doc_id, n_shingles and first (doc_id and row of the component's first row) of source (row, doc_id, text)."""
     rows = keep(source.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, key binary, bands array<long>, digits array<long>"))
@@ -187,7 +213,11 @@ def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
     members = members.select("key", "bucket")
     wanted = members.select(F.col("key").alias("want")).distinct().join(
         classes.select(F.col("key").alias("want"), F.col("rep.row").alias("row")), "want")
-    texts = source.select("row", "text").join(wanted, "row").select("want", "text")
+    wanted = keep(wanted.select("want", "row"))
+    texts = source.select("row", "text")
+    if (bits := _row_bits(rows.select("row"), wanted.select("row"), keep)) is not None:
+        texts = _only(texts, bits)
+    texts = texts.join(wanted, "row").select("want", "text")
     sets = keep(texts.mapInArrow(_full_sets, "key binary, shingles array<long>"))
 
     def linked(tested: DataFrame) -> DataFrame:
@@ -294,5 +324,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep = _Shared(docs.sparkSession).keep
     numbered = _numbered(docs, keep)
     source = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = keep(_groups(source, percent, keep).filter("row = first.row").select(F.col("row").alias("__row")))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    kept = keep(_groups(source, percent, keep).filter("row = first.row").select("row"))
+    bits = _row_bits(numbered.select(F.col("__row").alias("row")), kept, keep)
+    if bits is not None:
+        return _only(numbered, bits, "__row").drop("__row")
+    return numbered.join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi").drop("__row")

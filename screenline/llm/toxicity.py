@@ -246,15 +246,15 @@ def detect_toxic(docs: DataFrame, labels: DataFrame, network: Network | None = N
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that reach neither their language's threshold nor the default one.
 
-    Thresholds need a first pass over the scores; the second pass scores again
-    rather than shuffle texts.
+    Thresholds need a first pass over all texts, whose scores alone are written and
+    meet the labels; the second pass scores again, so no text is shuffled or stored.
     """
     spark = docs.sparkSession
     network = fit(docs, labels)
     path = work_dir(spark, "toxic")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    marks = labels.filter("toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    thresholds(score(source.join(marks, "doc_id", "left_semi"), network).drop("text"), labels).write.parquet(path)
+    score(source, network).drop("text").write.parquet(f"{path}-scores")
+    thresholds(spark.read.parquet(f"{path}-scores"), labels).write.parquet(path)
     limits = spark.read.parquet(path).withColumnsRenamed({"lang": "__lang", "threshold": "__threshold"})
     scored = score(docs, network, name="__toxic_score")
     limit = F.least(F.coalesce("__threshold", F.lit(DEFAULT_THRESHOLD)), F.lit(DEFAULT_THRESHOLD))
