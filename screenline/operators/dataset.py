@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from screenline import fixed
 from screenline.functions.text import tidy
 from screenline.functions.values import fill_template
 from screenline.operators.sampling import sample_n, stratified_split
+from screenline.session import work_dir
 from screenline.sources.corpora import SourceSpec, as_labelled, inline_source, load_source
 
 
@@ -58,16 +59,25 @@ def _digest() -> Column:
     return F.unhex(F.sha2("text", 256))
 
 
+def _staged(rows: DataFrame) -> DataFrame:
+    """rows with the digest of the text and source rank and position as one number."""
+    place = F.expr("CAST(source_rank AS DECIMAL(10,0)) * CAST('18446744073709551616' AS DECIMAL(20,0)) + CAST(pos AS DECIMAL(20,0))")
+    return rows.withColumns({"_digest": _digest(), "_place": place.cast("decimal(38,0)")})
+
+
 def dedup_first(df: DataFrame) -> DataFrame:
     """One row per text: that of the earliest source, then position.
 
-    Texts are compared by digest, and rank and position are one number, so the
-    minimum runs as a hash aggregation on short rows and merges map-side: a text
-    that makes up a third of all rows is one row per task. The rows that won are
-    fetched by digest, rank and position, which names a row of a source.
+    Rows are written once with the digest of their text, so that sources are read
+    and cleaned once. Texts are compared by digest, and rank and position are one
+    number, so the minimum runs as a hash aggregation on short rows and merges
+    map-side: a text that makes up a third of all rows is one row per task. The
+    rows that won are fetched by digest, rank and position, which names a row of a
+    source.
     """
-    place = F.expr("CAST(source_rank AS DECIMAL(10,0)) * CAST('18446744073709551616' AS DECIMAL(20,0)) + CAST(pos AS DECIMAL(20,0))")
-    rows = df.withColumns({"_digest": _digest(), "_place": place.cast("decimal(38,0)")})
+    path = work_dir(df.sparkSession, "union")
+    _staged(df).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     first = rows.groupBy("_digest").agg(F.min("_place").alias("_place"))
     return rows.join(first, ["_digest", "_place"], "left_semi").select("text", "label", "source", "source_rank", "pos")
 
@@ -114,6 +124,15 @@ def stage_counts(rows: DataFrame, min_length: int = fixed.MIN_TEXT_LENGTH) -> Da
     return both.select(F.expr("stack(2, 'before', before, 'after', after) AS (stage, n_rows)"))
 
 
+def write_dataset(rows: DataFrame, path: str, min_length: int = fixed.MIN_TEXT_LENGTH) -> DataFrame:
+    """Write ``finish_dataset(rows)`` and give the rows per stage, counted while they are written."""
+    spark = rows.sparkSession
+    before, after = Observation("before"), Observation("after")
+    finish_dataset(rows.observe(before, F.count("*").alias("n")), min_length).observe(after, F.count("*").alias("n")).write.parquet(path)
+    counts = [("before", before.get["n"]), ("after", after.get["n"])]
+    return spark.createDataFrame(counts, "stage string, n_rows long")
+
+
 def class_counts(df: DataFrame) -> DataFrame:
     """Rows per label, most frequent first."""
     return df.groupBy("label").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "label")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from itertools import groupby
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -77,13 +80,26 @@ def model_intent(df: DataFrame, text_col: str, model: Transformer, probability_c
 def predict_intent(df: DataFrame, text_col: str, scorer: str | Transformer | None = "keyword") -> DataFrame:
     """Score with a trained pipeline if one is given, else by phrases.
 
-    The choice is made once, on the driver, before the job starts.
+    Which of them is decided once, on the driver, before the job starts. A row
+    for which the pipeline gives no probability (null, or not a number) falls
+    back to phrases, as do all rows if the pipeline cannot be applied at all.
     """
     if scorer is None or scorer == "keyword":
         return keyword_intent(df, text_col)
     if not isinstance(scorer, Transformer):
         raise ValueError("scorer must be 'keyword' or a fitted pipeline")
-    return model_intent(df, text_col, scorer)
+    try:
+        scored = model_intent(df, text_col, scorer)
+    except (PySparkException, Py4JJavaError, KeyError) as e:
+        warnings.warn(f"the model cannot be applied, phrases are counted instead: {e}", stacklevel=2)
+        return keyword_intent(df, text_col)
+    kept = {"_model_label": F.col("intent_label"), "_model_confidence": F.col("intent_confidence")}
+    both = keyword_intent(scored.withColumns(kept), text_col)
+    failed = F.col("_model_confidence").isNull() | F.isnan("_model_confidence")
+    return both.withColumns({
+        "intent_label": F.when(failed, F.col("intent_label")).otherwise(F.col("_model_label")),
+        "intent_confidence": F.when(failed, F.col("intent_confidence")).otherwise(F.col("_model_confidence")),
+    }).drop(*kept)
 
 
 def score_table(df: DataFrame, model: Transformer, id_col: str = "id", text_col: str = "text",

@@ -379,6 +379,21 @@ ORACLE: dict[str, str] = {
     "source_two_label": f"WITH {CORPORA} SELECT pos, label, md5(text) AS text_md5 FROM two_label WHERE length(text) > 0",
     "source_paired": f"WITH {CORPORA} SELECT source, pos, label, md5(text) AS text_md5 FROM paired WHERE length(text) > 0",
     "source_instructions": f"WITH {CORPORA} SELECT pos, label, text FROM instructions",
+    "source_csv": """WITH lines AS (SELECT item_id, CASE WHEN item_id % 11 = 10 THEN 'none' ELSE item_id::VARCHAR END || ',"' ||
+          replace(translate(text, chr(10) || chr(13), '  '), '"', '""') || '"' || CASE WHEN item_id % 7 = 6 THEN ',more' ELSE '' END AS line, text FROM benchmark),
+        good AS (SELECT item_id, {_clean} AS text FROM lines WHERE item_id % 11 <> 10 AND item_id % 7 <> 6)
+        SELECT item_id AS pos, 'ok' AS outcome, md5(text) AS md5 FROM good WHERE length(text) > 0
+        UNION ALL SELECT NULL, 'malformed', md5(line) FROM lines WHERE item_id % 11 = 10 OR item_id % 7 = 6""".replace("{_clean}", _tidy("text")),
+    "detect_turns": f"""WITH prompts AS (SELECT conv_id || '-' || turn AS prompt_id, NULL AS source, NULL AS lang, CASE turn % 7 WHEN 3 THEN NULL
+          WHEN 4 THEN ' ' || chr(9) || ' ' WHEN 5 THEN '' ELSE text || ' ' || ({_list(fixed.PHRASE_BANK)})[1 + (conv_id + turn) % {len(fixed.PHRASE_BANK)}] END AS prompt
+          FROM conversations),
+        texts AS (SELECT *, coalesce(prompt, '') AS t FROM prompts), low AS (SELECT *, lower({_tidy('t')}) AS l FROM texts),
+        {RULES}, {INTENT}, {_pii('texts')},
+        per_rule AS (SELECT prompt_id, count(*) AS signals, count(DISTINCT threat) AS threats FROM hits GROUP BY prompt_id)
+        SELECT t.prompt_id, coalesce(s.rule_score, 0)::INTEGER AS rule_score, coalesce(r.threats, 0)::INTEGER AS threats, coalesce(r.signals, 0)::INTEGER AS signals,
+          i.label AS intent_label, i.confidence AS intent_confidence, len(p.pii)::INTEGER AS entities, p.data_leakage_severity
+        FROM texts t LEFT JOIN rule_scores s USING (prompt_id) LEFT JOIN per_rule r USING (prompt_id) JOIN intent i USING (prompt_id)
+        JOIN pii_found p USING (prompt_id)""",
     "source_safe_only": f"WITH {CORPORA} SELECT pos, label, md5(text) AS text_md5 FROM refusals WHERE length(text) > 0",
     "dataset_sample": f"WITH {CORPORA} SELECT pos, label, md5(substr(text, 1, {fixed.WILD_TEXT_CAP})) AS text_md5 FROM wild "
         f"ORDER BY md5('{fixed.SEED}:wild:' || pos), pos LIMIT {fixed.WILD_SAMPLE}",
@@ -388,6 +403,8 @@ ORACLE: dict[str, str] = {
     "dataset_union_dedup": DATASET + "SELECT source, pos, label, md5(text) AS text_md5 FROM dataset",
     "dataset_stage_counts": DATASET + """SELECT 'before' AS stage, count(*) AS n_rows FROM all_rows
         UNION ALL SELECT 'after', count(*) FROM dataset""",
+    "dataset_stage_counts_written": DATASET + """SELECT 'before' AS stage, count(*) AS n_rows FROM all_rows
+        UNION ALL SELECT 'after', count(*) FROM dataset""",
     "dataset_class_counts": DATASET + "SELECT label, count(*) AS n_rows FROM dataset GROUP BY label",
     "dataset_split_members": DATASET + "SELECT source, pos, label, split FROM split",
     "dataset_split_counts": DATASET + "SELECT split, label, count(*) AS n_rows FROM split GROUP BY ALL",
@@ -408,6 +425,7 @@ ORACLE: dict[str, str] = {
         SELECT id, term, round(w / norm, 6) AS weight FROM raw JOIN norms USING (id)""",
     "class_weights": TERMS + """, c AS (SELECT label, count(*) AS n_rows FROM docs GROUP BY label)
         SELECT label, n_rows, round((SELECT sum(n_rows) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n_rows), 6) AS weight FROM c""",
+    "svm_optimum": TERMS + "SELECT label, count(*) AS n_rows, true AS at_optimum FROM docs GROUP BY label",
     "model_fixed_intent": f"WITH {PROMPTS}, {FIXED_INTENT} SELECT prompt_id, label AS intent_label, confidence AS intent_confidence FROM intent",
     "model_fixed_predictions": f"WITH docs AS (SELECT doc_id AS id, text, {_LABEL} AS y_true FROM documents JOIN labels USING (doc_id)), "
         + _fixed_model("docs", "id", "text") + """ SELECT id, y_true, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'NORMAL'

@@ -23,7 +23,7 @@ from screenline.operators.scan import case_rates, case_report, scan_batch
 from screenline.plans import inputs
 from screenline.session import work_dir
 from screenline.sources import gram_index
-from screenline.sources.corpora import SourceSpec, load_source
+from screenline.sources.corpora import SourceSpec, load_source, split_malformed
 from screenline.sources.event_log import append_events, ensure_event_log, find_events, read_events
 from screenline.sources.intake import intake
 from screenline.sources.results import read_confusion, read_metrics, write_confusion, write_metrics
@@ -96,6 +96,18 @@ def card_check(spark, sf_dir):
         "key", "form", valid_card(F.col("candidate")).alias("valid"))
 
 
+@query
+def detect_turns(spark, sf_dir):
+    """All three detectors on turns of which some are null, empty or blank."""
+    phrase = assign_round_robin(F.col("conv_id") + F.col("turn"), fixed.PHRASE_BANK)
+    text = (F.when(F.col("turn") % 7 == 3, F.lit(None).cast("string")).when(F.col("turn") % 7 == 4, F.lit(" \t "))
+            .when(F.col("turn") % 7 == 5, F.lit("")).otherwise(F.concat("text", F.lit(" "), phrase)))
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), text.alias("prompt"))
+    found = pii.detect_pii(keyword_intent(rules.detect_rules(turns, "prompt"), "prompt"), "prompt")
+    return found.select("prompt_id", "rule_score", F.size("rule_threats").alias("threats"), F.size("rule_signals").alias("signals"),
+                        "intent_label", "intent_confidence", F.size("pii").alias("entities"), "data_leakage_severity")
+
+
 # --- rules --------------------------------------------------------------------
 
 @query
@@ -474,6 +486,30 @@ def source_instructions(spark, sf_dir):
     return load_source(spark, spec).select("pos", "label", "text")
 
 
+def _instruction_lines(spark, sf_dir):
+    """Instructions as a CSV file with a header; every seventh line has a field too many, every eleventh a number that is none."""
+    text = F.concat(F.lit('"'), F.regexp_replace(F.translate("text", "\n\r", "  "), '"', '""'), F.lit('"'))
+    number = F.when(F.col("item_id") % 11 == 10, F.lit("none")).otherwise(F.col("item_id").cast("string"))
+    line = F.concat_ws(",", number, text, F.when(F.col("item_id") % 7 == 6, F.lit("more")))
+    path = work_dir(spark, "csv")
+    lines = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("at"), line.alias("line"))
+    # every file of a folder begins with the header
+    parts = lines.withColumn("part", F.pmod("at", F.lit(3))).select("part", "at", "line")
+    heads = spark.range(3).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("at"), F.lit("pos,goal").alias("line"))
+    parts.union(heads).repartition(8, "part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(path)
+    return [f"{path}/part={i}" for i in range(3)]
+
+
+@query
+def source_csv(spark, sf_dir):
+    """A CSV source: its texts, and its malformed lines as rejects."""
+    spec = SourceSpec("csv", fixed.PROMPT_INJECTION, path=_instruction_lines(spark, sf_dir), fmt="csv", options={"header": "true", "escape": '"'},
+                      schema="pos long, goal string", text_col="goal", pos_col="pos")
+    good, rejects = split_malformed(spark, spec)
+    rows = load_source(spark, good).select("pos", F.lit("ok").alias("outcome"), F.md5("text").alias("md5"))
+    return rows.unionByName(rejects.select(F.lit(None).cast("long").alias("pos"), F.col("reason").alias("outcome"), F.md5("line").alias("md5")))
+
+
 @query
 def source_safe_only(spark, sf_dir):
     spec = next(s for s in _corpora(spark, sf_dir) if s.name == "refusals")
@@ -508,6 +544,12 @@ def dataset_stage_counts(spark, sf_dir):
     return dataset.stage_counts(_dataset(spark, sf_dir)[0])
 
 
+@query
+def dataset_stage_counts_written(spark, sf_dir):
+    """The same counts, taken while the dataset is written."""
+    return dataset.write_dataset(_dataset(spark, sf_dir)[0], work_dir(spark, "written"))
+
+
 @query
 def dataset_class_counts(spark, sf_dir):
     return dataset.class_counts(_dataset(spark, sf_dir)[1])
@@ -610,6 +652,16 @@ def train_svm(spark, sf_dir):
     return _trained(spark, sf_dir, "svm")
 
 
+@query
+def svm_optimum(spark, sf_dir):
+    """The SVM on all labelled texts: rows per class, and whether its gradient is within 1e-4 of nothing."""
+    rows = inputs.labelled(spark, sf_dir)
+    _, path, n_terms = models._write_features(rows, fixed.MAX_TERMS)
+    lengths = models.fit_svm(spark, path, n_terms).gradient
+    near = F.element_at(F.array(*[F.lit(bool(x <= 1e-4)) for x in lengths]), label_index(F.col("label")) + 1)
+    return rows.groupBy("label").agg(F.count("*").alias("n_rows")).withColumn("at_optimum", near)
+
+
 @query
 def model_select(spark, sf_dir):
     """Both models by validation macro F1."""

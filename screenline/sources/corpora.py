@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from screenline import fixed
 from screenline.functions.text import clean_text, is_blank
 from screenline.functions.values import lookup
 from screenline.operators.sampling import sample_n
+from screenline.session import work_dir
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,22 @@ def _read(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     return reader.load(spec.path if isinstance(spec.path, str) else list(spec.path))
 
 
+def split_malformed(spark: SparkSession, spec: SourceSpec) -> tuple[SourceSpec, DataFrame]:
+    """The spec with its well-formed rows as table, and the other lines of its files as rejects (reason, line).
+
+    For text formats with a schema. A line is malformed if it has too few or too
+    many fields or one of another type. The files are read once and written as
+    rows, as a reader may not be asked for malformed lines alone.
+    """
+    raw = spark.read.format(spec.fmt).options(**{**spec.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    rows = raw.schema(f"{spec.schema}, _line string").load(spec.path if isinstance(spec.path, str) else list(spec.path))
+    place = work_dir(spark, "lines")
+    rows.write.parquet(place)
+    stored = spark.read.schema(rows.schema).parquet(place)
+    rejects = stored.filter(F.col("_line").isNotNull()).select(F.lit("malformed").alias("reason"), F.col("_line").alias("line"))
+    return replace(spec, table=stored.filter(F.col("_line").isNull()).drop("_line")), rejects
+
+
 def load_source(spark: SparkSession, spec: SourceSpec, rank: int = 0) -> DataFrame:
     """Rows of one corpus: non-empty, labelled, sampled, cleaned, capped.
 

@@ -14,7 +14,7 @@ from screenline.operators import features as T
 from screenline.operators import models as M
 from screenline.operators.intent import model_intent
 from screenline.operators.sampling import sample_n, stratified_split
-from screenline.sources.corpora import SourceSpec, load_source
+from screenline.sources.corpora import SourceSpec, load_source, split_malformed
 from screenline.sources.splits import read_split, write_splits
 
 
@@ -124,3 +124,25 @@ def test_train_save_load_predict(spark, tmp_path):
     assert all(w == pytest.approx(1.0) for w in weights.values())
     with pytest.raises(ValueError):
         M.train(df, "tree")
+
+
+def test_counts_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([(t, "NORMAL", "s", 0, i) for i, t in enumerate(["aaa", "aaa", "b", "cccc", "aaa"])],
+                                 "text string, label string, source string, source_rank int, pos bigint").repartition(3)
+    path = str(tmp_path / "out")
+    counts = {r["stage"]: r["n_rows"] for r in D.write_dataset(rows, path).collect()}
+    assert counts == {"before": 5, "after": 2} == {r["stage"]: r["n_rows"] for r in D.stage_counts(rows).collect()}
+    assert sorted(r["text"] for r in spark.read.parquet(path).collect()) == ["aaa", "cccc"]
+    empty = {r["stage"]: r["n_rows"] for r in D.write_dataset(rows.limit(0), str(tmp_path / "none")).collect()}
+    assert empty == {"before": 0, "after": 0}
+
+
+def test_malformed_lines(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('pos,goal\n1,fine\n2,"with, comma"\nx,no number\n3,too,many\n4\n\n5,"say ""hi"""\n')
+    spec = SourceSpec("s", "NORMAL", path=str(path), fmt="csv", options={"header": "true", "escape": '"'}, schema="pos long, goal string", text_col="goal",
+                      pos_col="pos")
+    good, rejects = split_malformed(spark, spec)
+    assert sorted((r["pos"], r["text"]) for r in load_source(spark, good).collect()) == [(1, "fine"), (2, "with, comma"), (5, 'say "hi"')]
+    assert sorted(r["line"] for r in rejects.collect()) == ["3,too,many", "4", "x,no number"]
+    assert {r["reason"] for r in rejects.collect()} == {"malformed"}
