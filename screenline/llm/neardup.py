@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm.texts import Words, chunks, distinct_per_text, mix, random_words, shingles, text_bytes
+from screenline.llm.texts import Words, chunks, distinct_per_text, give_back, mix, random_words, shingles, text_bytes
 from screenline.session import work_dir
 
 WORDS = 5
@@ -123,6 +123,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, at = shingle_sets(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("want"), lists], names=["key", "shingles"])
+    give_back()
 
 
 class _Shared:

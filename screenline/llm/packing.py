@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenline.llm.texts import give_back
+
 LONGEST = 2048
-GROUP = 1 << 20  # characters of texts that are encoded together
+GROUP = 1 << 17  # characters of texts that are encoded together
 MEMO = 700_000  # distinct words, about 200 bytes each, in each of the two generations a worker remembers. Changes no result.
 
 
@@ -140,6 +142,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, longest: int = L
             if rows:
                 yield _batch(rows)
         gc.enable()
+        give_back()
 
     pieces = source.mapInArrow(run, schema)
     bucket = F.log2("length").cast("int")

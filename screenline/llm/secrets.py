@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenline.llm.texts import give_back
+
 KINDS = ("assign", "access", "hex", "random")  # in the order that breaks ties of place
 
 # Only ASCII letters have two cases here, whatever the text holds.
@@ -133,5 +135,6 @@ def redact_secrets(docs: DataFrame, ranks_file: str, pattern: str, text_col: str
         for batch in batches:
             column = pa.array([clean(t, encode) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([column if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -65,6 +65,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[ends[0]:ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """Hand memory of batches that are done back to the system: workers live on and run other stages after this one."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text; a longer text is a slice of its own, whole."""
     _, at = text_bytes(batch.column(column))

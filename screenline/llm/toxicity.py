@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenline.llm.texts import Words, chunks, random_words, text_bytes
+from screenline.llm.texts import Words, chunks, give_back, random_words, text_bytes
 from screenline.session import work_dir
 
 WIDTHS = (1, 2, 3)
@@ -199,6 +199,7 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", name: str =
             parts = [scorer.scores(*word_rows(part.column(0))) for part in chunks(texts, "t", 1 << 18)]
             scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
