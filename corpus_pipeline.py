@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences of token ids. Each copy of a repeated row is packed for itself."""
     # workers live on and hold what all stages remember: few words are remembered here
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=50_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=25_000)
 
 
 STAGES = [
