@@ -47,7 +47,7 @@ class WordEncoder:
         self.before: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
