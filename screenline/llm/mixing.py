@@ -13,9 +13,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenline.llm.texts import unused
 from screenline.session import work_dir
 
-#: Rates above this are split into whole copies and a Poisson rest, so that the inversion stays short and exact.
+#: Greatest mean of one inversion, which keeps it short and exact. A higher rate is the sum of draws of equal
+#: mean, which is a Poisson draw of the whole rate.
 MOST = 4
 STEPS = 40  # terms of the inversion; the chance of more at a mean of 4 is below 1e-25
 
@@ -65,7 +67,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     A row's draw depends on seed, id and text, so equal rows are repeated equally
     often, and equal texts under different ids are drawn apart. Null ids, texts
     and sources are values like others. Rows of sources without a weight are
-    left out, which is what their target asks for. The rates, a row per source,
+    left out, which is what their target asks for. A rate above MOST is drawn in
+    several parts, each at its own point. The rates, a row per source,
     are written first, so that the planner knows their size and broadcasts them
     only if that is below its limit; above it, a hot source is split by AQE.
     The copies are dealt over all tasks by a hash of seed, id, text and copy and
@@ -73,11 +76,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     """
     rates = source_rates(docs, weights, epochs, source_col, size)
     who = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))]
-    drawn = docs.join(rates.withColumnRenamed("rate", "__mix_rate"), F.col(source_col).cast("string").eqNullSafe(F.col("__of"))).drop("__of")
-    whole = F.when(F.col("__mix_rate") > MOST, F.floor("__mix_rate").cast("int") - (MOST - 1)).otherwise(F.lit(0))
-    copies = whole + poisson(F.col("__mix_rate") - whole, unit_hash(*who))
-    drawn = drawn.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
-    drawn = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    order = F.md5(F.concat_ws("|", *who, F.col("mix_copy").cast("string")).cast("binary"))
-    return (drawn.withColumn("mix_order", order).drop("__mix_rate", "__mix_copies")
+    of, rate, name, times = (unused(docs.columns, c) for c in ("__of", "__mix_rate", "__mix_name", "__mix_copies"))
+    drawn = docs.join(rates.withColumnsRenamed({"__of": of, "rate": rate}), F.col(source_col).cast("string").eqNullSafe(F.col(of))).drop(of)
+    drawn = drawn.withColumn(name, F.concat_ws("|", *who))
+    draws = F.greatest(F.ceil(rate), F.lit(1))
+    draws = F.ceil(draws / MOST).cast("int")
+    copies = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda n, i: n + poisson(
+        F.col(rate) / draws, unit_hash(F.col(name), F.lit("draw"), i.cast("string"))))
+    drawn = drawn.withColumn(times, copies).filter(F.col(times) > 0)
+    drawn = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(times))))
+    order = F.md5(F.concat_ws("|", F.col(name), F.col("mix_copy").cast("string")).cast("binary"))
+    return (drawn.withColumn("mix_order", order).drop(rate, name, times)
             .repartition("mix_order").sortWithinPartitions("mix_order"))

@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenline.llm.texts import Words, chunks, distinct_per_text, give_back, mix, random_words, shingles, text_bytes
+from screenline.llm.texts import Words, chunks, distinct_per_text, give_back, mix, random_words, shingles, text_bytes, unused
 from screenline.session import work_dir
 
 WORDS = 5
 PLACES = 1 << 20
+LEAST_PERCENT = 85  # bands and AGREE are made for links from here on
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band with a chance of 3e-7
 DIGITS = BANDS * ROWS // 16
 #: Coordinates whose last 4 bits agree: a pair at 0.85 has fewer with a chance of 1e-6, like no common band.
@@ -172,9 +173,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                        F.size("xs").cast("long").alias("na"), F.size("ys").cast("long").alias("nb"))
 
 
-def _numbered(docs: DataFrame, keep) -> DataFrame:
+def _check(percent: int) -> None:
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be between {LEAST_PERCENT} and 100, not {percent}")
+
+
+def _numbered(docs: DataFrame, keep, name: str = "row") -> DataFrame:
     """docs with a number per row, written once: numbers made anew change with the splits of the files."""
-    return keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return keep(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def _row_bits(rows: DataFrame, chosen: DataFrame, keep) -> DataFrame | None:
@@ -196,9 +202,10 @@ def _row_bits(rows: DataFrame, chosen: DataFrame, keep) -> DataFrame | None:
 def _only(df: DataFrame, bits: DataFrame, row: str = "row") -> DataFrame:
     """The rows of df whose bit is set. The list of bits is bounded by BIT_ROWS, so it goes to the rows and not these to it."""
     at = F.col(row).bitwiseAND(F.lit((1 << PLACE) - 1))
-    of = F.broadcast(bits.select(F.col("part").alias("__part"), F.col("words").alias("__words")))
-    is_set = F.bit_get(F.get("__words", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-    return df.join(of, F.shiftright(row, PLACE) == F.col("__part")).filter(is_set).drop("__part", "__words")
+    part, words = unused(df.columns, "__part"), unused(df.columns, "__words")
+    of = F.broadcast(bits.select(F.col("part").alias(part), F.col("words").alias(words)))
+    is_set = F.bit_get(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return df.join(of, F.shiftright(row, PLACE) == F.col(part)).filter(is_set).drop(part, words)
 
 
 def _groups(source: DataFrame, percent: int, keep) -> DataFrame:
@@ -274,11 +281,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal sets, repeated rows among them, are one component. A null id takes part
     and is greater than all others: it is kept only where no other id is
     reachable. Other columns are ignored. Ids and texts are written with their
-    numbers before the first pass; docs is read once.
+    numbers before the first pass; docs is read once. A percent outside
+    LEAST_PERCENT to 100 is refused: below it links would be lost.
     """
+    _check(percent)
     keep = _Shared(docs.sparkSession).keep
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = _numbered(source, keep).withColumnRenamed("__row", "row")
+    source = _numbered(source, keep)
     out = _groups(source, percent, keep).withColumn("component_id", F.col("first.doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -320,13 +329,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, all columns, of which one per component stays: the first of those with the least id.
 
     Rows without text or words stay. docs is written with its numbers and read
-    from there, so it is read once.
+    from there, so it is read once. `percent` as in `near_duplicates`.
     """
-    keep = _Shared(docs.sparkSession).keep
-    numbered = _numbered(docs, keep)
-    source = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    _check(percent)
+    keep, name = _Shared(docs.sparkSession).keep, unused(docs.columns, "__row")
+    numbered = _numbered(docs, keep, name)
+    source = numbered.select(F.col(name).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = keep(_groups(source, percent, keep).filter("row = first.row").select("row"))
-    bits = _row_bits(numbered.select(F.col("__row").alias("row")), kept, keep)
+    bits = _row_bits(numbered.select(F.col(name).alias("row")), kept, keep)
     if bits is not None:
-        return _only(numbered, bits, "__row").drop("__row")
-    return numbered.join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi").drop("__row")
+        return _only(numbered, bits, name).drop(name)
+    return numbered.join(kept.withColumnRenamed("row", name), name, "left_semi").drop(name)

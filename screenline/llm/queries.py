@@ -120,12 +120,13 @@ def _templates(threshold: float = 0.8) -> str:
 ORACLE: dict[str, str] = {
     "op2_mixing": """WITH sizes AS (SELECT source, sum(greatest(coalesce(length(text), 0), 1)) AS size FROM documents GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE * 1.0::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE / size::DOUBLE AS rate FROM sizes),
-means AS (SELECT source, CASE WHEN rate > 4 THEN floor(rate)::INTEGER - 3 ELSE 0 END AS whole, rate FROM rates),
-terms AS (SELECT source, whole, k, exp(-(rate - whole) + k * ln(rate - whole) - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(0, 40)) AS k FROM means)),
-below AS (SELECT source, whole, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-cuts AS (SELECT source, any_value(whole) AS whole, list(c) AS cuts FROM below GROUP BY source),
+means AS (SELECT source, draws, rate / draws AS mean FROM (SELECT *, ceil(greatest(ceil(rate), 1) / 4)::INTEGER AS draws FROM rates)),
+terms AS (SELECT source, draws, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(0, 40)) AS k FROM means)),
+below AS (SELECT source, draws, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+cuts AS (SELECT source, any_value(draws) AS draws, list(c) AS cuts FROM below GROUP BY source),
 who AS (SELECT d.*, 'mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null') AS name FROM documents d),
-drawn AS (SELECT w.*, whole + len(list_filter(cuts, lambda c: c <= ('0x' || substr(md5(name), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS copies
+drawn AS (SELECT w.*, list_sum(list_transform(range(1, draws + 1), lambda i:
+    len(list_filter(cuts, lambda c: c <= ('0x' || substr(md5(name || '|draw|' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))))::INTEGER AS copies
   FROM who w JOIN cuts c ON w.source IS NOT DISTINCT FROM c.source),
 each AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS mix_copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, mix_copy, md5(name || '|' || mix_copy) AS mix_order FROM each""",

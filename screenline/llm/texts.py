@@ -7,7 +7,7 @@ Hashes are 64 bits wide and the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,14 @@ CHUNK_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """`name` with as many underscores before it as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenline.llm.texts import Words, chunks, give_back, random_words, text_bytes
+from screenline.llm.texts import Words, chunks, give_back, random_words, text_bytes, unused
 from screenline.session import work_dir
 
 WIDTHS = (1, 2, 3)
@@ -167,13 +167,18 @@ def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def is_for_thresholds(doc_id="doc_id"):
+    """Rows that set thresholds and are not trained on: a fifth of those not held out."""
+    return ~is_held_out(doc_id) & F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 2, F.lit(False))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN) -> Network:
     """A network trained on at most `most_toxic` and `most_clean` labelled rows, in the order of a hash of their ids.
 
-    Rows held out, without text or without a label take no part. The bound on
+    Rows held out, kept for the thresholds, without text or without a label take no part. The bound on
     rows bounds what comes to the driver; texts come whole.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out() & ~is_for_thresholds())
     pick = F.md5(F.col("doc_id").cast("string").cast("binary"))
     # ids first: only the chosen rows' texts are fetched
     ids = [marks.filter(F.col("toxic") == t).dropDuplicates(["doc_id"]).orderBy(pick).limit(n) for t, n in ((1, most_toxic), (0, most_clean))]
@@ -204,27 +209,48 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", name: str =
     return docs.mapInArrow(run, schema)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, false_alarms: float = 0.002, least: int = 100) -> DataFrame:
-    """lang and threshold: the least score above which at most `false_alarms` of the language's clean labelled rows lie.
+def thresholds(scored: DataFrame, labels: DataFrame, false_alarms: float = 0.002, missed: float = 0.05, least: int = 100,
+               least_toxic: int = 20) -> DataFrame:
+    """lang and threshold, from labelled rows that training did not see (`is_for_thresholds`).
 
-    Held-out rows take no part. A language with fewer than `least` clean labelled
-    rows gets no row here and keeps the default. Only the histogram of scores, GRID + 1
-    rows per language at most, is gathered.
+    `low` is the least score that at most `false_alarms` of the language's clean rows
+    reach, `high` the score below which at most `missed` of its toxic rows lie (of all
+    languages', if it has fewer than `least_toxic`). Where the classes lie apart the
+    threshold is midway between both, otherwise it is `low`. A language with fewer than
+    `least` clean rows gets the default. Only histograms of scores, GRID + 1 rows per
+    language at most, are gathered.
     """
-    marks = labels.filter("toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).filter(~is_held_out()).distinct()
-    bins = scored.join(marks, "doc_id", "left_semi").groupBy("lang", F.ceil(F.col("toxic_score") * GRID).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    marks = (labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+             .filter(is_for_thresholds()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    path = work_dir(scored.sparkSession, "bins")
+    (scored.join(marks, "doc_id").groupBy("lang", F.ceil(F.col("toxic_score") * GRID).cast("int").alias("bin"))
+     .agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).write.parquet(path))
+    bins = scored.sparkSession.read.parquet(path)
+    pooled = bins.groupBy("bin").agg(F.sum("toxic").cast("long").alias("n")).collect()
+    of_all = np.zeros(GRID + 1, np.int64)
+    for r in pooled:
+        of_all[r["bin"]] = r["n"]
 
     def choose(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("bin", ascending=False)
-        allowed = int(false_alarms * table["n"].sum())
-        above = table["n"].cumsum().to_numpy()
-        top = int(table["bin"].to_numpy()[np.searchsorted(above, allowed, side="right")]) if table["n"].sum() >= least else -1
-        # the band 0.3 to 0.9 keeps a threshold meaningful where the classes lie far apart
-        return pd.DataFrame({"lang": table["lang"].iloc[:1], "threshold": [min(0.9, max(0.3, (top + 1) / GRID)) if top >= 0 else DEFAULT_THRESHOLD]})
+        clean, toxic = np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)
+        clean[table["bin"]], toxic[table["bin"]] = table["clean"], table["toxic"]
+        chosen = DEFAULT_THRESHOLD if clean.sum() < least else midway(clean, toxic if toxic.sum() >= least_toxic else of_all, false_alarms, missed)
+        return pd.DataFrame({"lang": table["lang"].iloc[:1], "threshold": [chosen]})
 
     return bins.groupBy("lang").applyInPandas(choose, "lang string, threshold double")
 
 
+def midway(clean: np.ndarray, toxic: np.ndarray, false_alarms: float, missed: float) -> float:
+    """The threshold for numbers of clean and toxic rows whose scores lie in ((i - 1) / GRID, i / GRID]."""
+    at_least = clean[::-1].cumsum()[::-1]
+    over = np.flatnonzero(at_least > int(false_alarms * clean.sum()))
+    low = (int(over[-1]) + 1) / GRID if len(over) else 0.0
+    if not toxic.sum():
+        return max(low, DEFAULT_THRESHOLD)
+    high = (int(np.flatnonzero(toxic.cumsum() > int(missed * toxic.sum()))[0]) - 1) / GRID
+    return max(low, (low + high) / 2)
+
+
 def detect_toxic(docs: DataFrame, labels: DataFrame, network: Network | None = None) -> DataFrame:
     """doc_id, lang, toxic_score, threshold and flagged per row of docs (doc_id, text, lang).
 
@@ -245,7 +271,7 @@ def detect_toxic(docs: DataFrame, labels: DataFrame, network: Network | None = N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that reach neither their language's threshold nor the default one.
+    """The rows of docs, all columns, that do not reach their language's threshold: those `detect_toxic` does not flag.
 
     Thresholds need a first pass over all texts, whose scores alone are written and
     meet the labels; the second pass scores again, so no text is shuffled or stored.
@@ -256,7 +282,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     score(source, network).drop("text").write.parquet(f"{path}-scores")
     thresholds(spark.read.parquet(f"{path}-scores"), labels).write.parquet(path)
-    limits = spark.read.parquet(path).withColumnsRenamed({"lang": "__lang", "threshold": "__threshold"})
-    scored = score(docs, network, name="__toxic_score")
-    limit = F.least(F.coalesce("__threshold", F.lit(DEFAULT_THRESHOLD)), F.lit(DEFAULT_THRESHOLD))
-    return scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").filter(F.col("__toxic_score") < limit).select(docs.columns)
+    of, limit, name = (unused(docs.columns, c) for c in ("__lang", "__threshold", "__toxic_score"))
+    limits = spark.read.parquet(path).withColumnsRenamed({"lang": of, "threshold": limit})
+    scored = score(docs, network, name=name).join(limits, F.col("lang").eqNullSafe(F.col(of)), "left")
+    return scored.filter(F.col(name) < F.coalesce(limit, F.lit(DEFAULT_THRESHOLD))).select(docs.columns)

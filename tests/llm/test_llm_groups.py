@@ -56,9 +56,9 @@ def test_mixing(spark, cases, nothing):
         if r[3] in ("s0", "s1"):
             rate = {"s0": 1, "s1": 3}[r[3]] / 4 * 2 * total / sizes[r[3]]
             who = ["mix", "null" if r[0] is None else str(r[0]), "null" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()]
-            point = int(hashlib.md5("|".join(who).encode()).hexdigest()[:13], 16) / 2 ** 52
-            whole = math.floor(rate) - 3 if rate > 4 else 0
-            want[r[0], r[1], r[3]] += whole + plain_poisson(rate - whole, point)
+            draws = math.ceil(max(1, math.ceil(rate)) / 4)
+            points = [int(hashlib.md5("|".join([*who, "draw", str(i + 1)]).encode()).hexdigest()[:13], 16) / 2 ** 52 for i in range(draws)]
+            want[r[0], r[1], r[3]] += sum(plain_poisson(rate / draws, p) for p in points)
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == +want
     assert len({r["mix_order"] for r in got}) > 1 and set(cases.columns) < set(got[0].asDict())
     assert mixing.mix_sources(nothing).count() == 0 and mixing.mix_sources(cases, {}).count() == 0
@@ -70,6 +70,24 @@ def test_mixing_reaches_targets(spark):
     assert len(shares) == 3 and all(abs(n - 4000) < 400 for n in shares.values())
 
 
+def test_mixing_above_four_is_poisson(spark):
+    docs = stored(spark, [row(i, "x" * 100, source="rare" if i % 20 == 0 else "much") for i in range(40000)])
+    got = mixing.mix_sources(docs, {"rare": 1, "much": 1}).filter("source = 'rare'").groupBy("doc_id").count().collect()
+    counts = np.array([r["count"] for r in got] + [0] * (2000 - len(got)))
+    # a rate of 10: mean and variance are both 10
+    assert abs(counts.mean() - 10) < 0.4 and abs(counts.var() - 10) < 1.5 and counts.min() < 4 < 20 < counts.max()
+
+
+def test_names_used_inside(spark):
+    names = ["__of", "__mix_rate", "__mix_name", "__mix_copies", "__row", "__part", "__words", "__lang", "__threshold", "__Toxic_score"]
+    docs = stored(spark, [row(i, f"some words of text number {i // 2}") for i in range(20)])
+    docs = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    for out in (mixing.mix_sources(docs, epochs=3.0).select(docs.columns), neardup.drop_near_duplicates(docs), toxicity.drop_toxic(docs, labels)):
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(f"own {n}" for n in names)]
+
+
 def plain_repeats(docs):
     """(doc_id, bytes, removed, spans, digest) of documents in their order."""
     seen, out = set(), []
@@ -197,6 +215,22 @@ def test_toxicity(spark, nothing):
     assert toxicity.detect_toxic(docs, labels.limit(0)).filter("flagged").count() == 0
 
 
+def test_thresholds_between_the_classes():
+    clean, toxic = np.zeros(toxicity.GRID + 1, np.int64), np.zeros(toxicity.GRID + 1, np.int64)
+    clean[100], clean[300], toxic[900], toxic[401] = 998, 2, 95, 5
+    assert toxicity.midway(clean, toxic, 0.002, 0.05) == pytest.approx((0.101 + 0.899) / 2)
+    assert toxicity.midway(clean, toxic, 0.001, 0.0) == pytest.approx((0.301 + 0.4) / 2)
+    clean[950] = 5
+    assert toxicity.midway(clean, toxic, 0.002, 0.05) == pytest.approx(0.951)
+    assert toxicity.midway(clean, 0 * toxic, 0.1, 0.05) == toxicity.DEFAULT_THRESHOLD
+
+
+def test_training_and_thresholds_see_other_rows(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.is_held_out().alias("h"), toxicity.is_for_thresholds().alias("t"))
+    counts = {(r["h"], r["t"]): r["count"] for r in rows.groupBy("h", "t").count().collect()}
+    assert (True, True) not in counts and 300 < counts[False, True] < 500 and counts[False, False] > 1400
+
+
 def test_scores_do_not_depend_on_batches():
     import pyarrow as pa
 
@@ -244,6 +278,9 @@ def test_near_duplicates(spark, cases, nothing):
     assert sorted(map(repr, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(repr, want))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert sum(1 for _ in {w[2] for w in want}) > 20
+    for refused in (84, 101):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(data, percent=refused)
     kept = neardup.drop_near_duplicates(data)
     assert kept.columns == data.columns
     empty = sum(1 for w in want if not w[1])
