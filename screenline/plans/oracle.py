@@ -342,6 +342,16 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (decision = 'SANITIZE') AS sanitize, count(*) FILTER (decision = 'BLOCK') AS block FROM scan""",
     "events_stream_counts": SCAN + """SELECT 'decision' AS kind, decision AS name, count(*) AS events FROM events_scanned GROUP BY decision
         UNION ALL SELECT 'threat', threat, count(*) FROM threat_rows WHERE prompt_id IN (SELECT prompt_id FROM events_scanned) GROUP BY threat""",
+    "events_stream_windows": SCAN + """, named AS (SELECT at_time, 'decision' AS kind, decision AS name FROM events_scanned
+          UNION ALL SELECT e.at_time, 'threat', t.threat FROM threat_rows t JOIN events_scanned e USING (prompt_id)),
+        days AS (SELECT date_trunc('day', at_time) AS began, kind, name, count(*) AS events FROM named WHERE at_time IS NOT NULL GROUP BY ALL)
+        SELECT strftime(began, '%Y-%m-%dT%H:%M:%S') AS started, kind, name, events FROM days
+        WHERE began + INTERVAL 1 DAY <= (SELECT max(at_time) FROM events_scanned) - INTERVAL 2 DAY""",
+    "events_stream_newest": SCAN + "SELECT scan_id, timestamp, risk_score, decision FROM events_scanned ORDER BY at_time DESC NULLS LAST, scan_id LIMIT 100",
+    "event_log_compacted": SCAN + """SELECT strftime(at_time, '%Y-%m-%d') AS event_day, count(*) AS events, sum(risk_score)::BIGINT AS risk,
+        1::BIGINT AS files FROM events_scanned GROUP BY ALL""",
+    "events_score_sketch": SCAN + """, days AS (SELECT strftime(at_time, '%Y-%m-%d') AS event_day, count(*) AS events FROM events_scanned GROUP BY ALL)
+        SELECT event_day, events, point, true AS near_rank FROM days CROSS JOIN (VALUES ('p50'), ('p95'), ('p99')) v(point)""",
     "event_log_roundtrip": SCAN + """SELECT strftime(at_time, '%Y-%m-%d') AS event_day, decision, count(*) AS events,
         sum(len(pii))::BIGINT AS entities FROM events_scanned GROUP BY ALL""",
     "event_log_other_day": SCAN + """SELECT scan_id, CASE WHEN prompt_id % 3 <> 0 THEN timestamp

@@ -23,13 +23,15 @@ from screenline.operators.scan import case_rates, case_report, scan_batch
 from screenline.plans import inputs
 from screenline.session import work_dir
 from screenline.sources import gram_index
+from screenline.sources.compaction import compact_events
 from screenline.sources.corpora import SourceSpec, load_source, split_malformed
 from screenline.sources.event_log import append_events, ensure_event_log, find_events, read_events
 from screenline.sources.intake import intake
+from screenline.sources.quantile_index import day_percentiles, sketch_files
 from screenline.sources.results import read_confusion, read_metrics, write_confusion, write_metrics
 from screenline.sources.splits import read_split, write_splits
 from screenline.sources.tables import read_table
-from screenline.streaming.jobs import live_counts, prompt_stream, scan_stream
+from screenline.streaming.jobs import live_counts, live_newest, live_window_counts, prompt_stream, read_newest, scan_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,8 +320,56 @@ def events_stream_counts(spark, sf_dir):
     return spark.table(name)
 
 
+@query
+def events_stream_windows(spark, sf_dir):
+    """Counts per day of event time over a log that is read as a stream; the newest two days are still open."""
+    log, out = inputs.logged(spark, sf_dir, "window-log"), work_dir(spark, "windows")
+    stream = spark.readStream.schema(read_events(spark, log).schema).parquet(log)
+    live_window_counts(stream, out, work_dir(spark, "window-checkpoint"), "1 day", "2 days", once=True).awaitTermination()
+    return spark.read.parquet(out).select(utc_iso(F.col("started")).alias("started"), "kind", "name", "events")
+
+
+@query
+def events_stream_newest(spark, sf_dir):
+    """The newest events of a log that is read as a stream, a hundred files at a time."""
+    log, out = inputs.logged(spark, sf_dir, "newest-log"), work_dir(spark, "newest")
+    stream = spark.readStream.schema(read_events(spark, log).schema).option("maxFilesPerTrigger", 100).parquet(log)
+    live_newest(stream, out, work_dir(spark, "newest-checkpoint"), n=100, once=True).awaitTermination()
+    return read_newest(spark, out).select("scan_id", utc_iso(F.col("timestamp")).alias("timestamp"), "risk_score", "decision")
+
+
 # --- event log ----------------------------------------------------------------
 
+@query
+def event_log_compacted(spark, sf_dir):
+    """A log in two batches, compacted: the same rows, each day in one file."""
+    log = work_dir(spark, "compacted-log")
+    found = inputs.scan_events(spark, sf_dir)
+    for half in (0, 1):
+        append_events(found.filter(F.crc32("scan_id") % 2 == half), log, inputs.LOG_BUCKETS)
+    compact_events(spark, log)
+    rows = read_events(spark, log).select("event_date", "risk_score", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day")).agg(
+        F.count("*").alias("events"), F.sum("risk_score").alias("risk"), F.count_distinct("file").alias("files"))
+
+
+@query
+def events_score_sketch(spark, sf_dir):
+    """Whether the percentiles of each day's scores, merged from sketches, have the wanted ranks, to half a hundredth."""
+    log = inputs.logged(spark, sf_dir, "sketch-log")
+    sketch_files(spark, log)
+    found = day_percentiles(spark, log, [p * 100 for p in _POINTS.values()])
+    rows = read_events(spark, log).select(F.col("event_date").alias("day"), "risk_score")
+    both = rows.join(found, F.col("day").eqNullSafe(F.col("event_date")))
+    value = lambda i: F.get("percentiles", F.lit(i))
+    ranks = both.groupBy("day").agg(F.count("*").alias("n"), *[c for i, p in enumerate(_POINTS) for c in (
+        F.count_if(F.col("risk_score") < value(i)).alias(f"{p}_low"), F.count_if(F.col("risk_score") <= value(i)).alias(f"{p}_high"))])
+    near = F.array(*[F.struct(F.lit(p).alias("point"), (
+        (F.col(f"{p}_low") <= share * F.col("n") + 0.005 * F.col("n")) & (F.col(f"{p}_high") >= share * F.col("n") - 0.005 * F.col("n"))).alias("near_rank"))
+        for p, share in _POINTS.items()])
+    return ranks.select(F.date_format("day", "yyyy-MM-dd").alias("event_day"), F.col("n").alias("events"), F.inline(near))
+
+
 @query
 def event_log_roundtrip(spark, sf_dir):
     """Append the same batch twice; the log holds it once."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from screenline.schema import EVENT_LOG
 from screenline.session import work_dir
-from screenline.sources import id_table
+from screenline.sources import compaction, id_table
 
 _COLUMNS = [f.name for f in EVENT_LOG.fields]
 
@@ -32,8 +32,10 @@ def _write(events: DataFrame, path: str, mode: str) -> None:
 def ensure_event_log(spark: SparkSession, path: str, buckets: int = id_table.BUCKETS) -> None:
     """Create an empty log at ``path`` unless there is one, and its id table.
 
-    A log that was written without an id table gets one from its rows.
+    A log that was written without an id table gets one from its rows. A compaction
+    that was lost half-way is finished first.
     """
+    compaction.finish_compactions(spark, path)
     _write(spark.createDataFrame([], EVENT_LOG), path, "ignore")
     if id_table.done_batches(spark, path) is None:
         index_ids(spark, path, buckets)
