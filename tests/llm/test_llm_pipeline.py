@@ -30,9 +30,10 @@ def plain_mixture(docs):
     out = Counter()
     for r in docs:
         rate = 1 / len(sizes) * sum(sizes.values()) / sizes[r["source"]]
-        whole = math.floor(rate) - 3 if rate > 4 else 0
-        who = f"mix|{r['doc_id']}|{hashlib.md5(r['text'].encode()).hexdigest()}"
-        out[tuple(r)] += whole + plain_poisson(rate - whole, int(hashlib.md5(who.encode()).hexdigest()[:13], 16) / 2 ** 52)
+        draws = math.ceil(max(1, math.ceil(rate)) / 4)
+        who = f"mix|{r['doc_id']}|{hashlib.md5(r['text'].encode()).hexdigest()}|draw|"
+        for i in range(draws):
+            out[tuple(r)] += plain_poisson(rate / draws, int(hashlib.md5(f"{who}{i + 1}".encode()).hexdigest()[:13], 16) / 2 ** 52)
     return +out
 
 
