@@ -113,7 +113,7 @@ def _templates(threshold: float = 0.8) -> str:
     for i, (name, text) in enumerate(licences.TEMPLATES):
         own = licences.template_bigrams(text)
         low, high = licences.bounds(len(own), threshold)
-        rows.append(f"({i}, {_s(name)}, [{', '.join(map(_s, own))}], {len(own)}, {low}, {high})")
+        rows.append(f"({i}, {_s(name)}, [{', '.join(map(_s, own))}], {len(own)}, {low}, {high}, {len(licences.template_words(text))})")
     return ", ".join(rows)
 
 
@@ -130,7 +130,7 @@ drawn AS (SELECT w.*, list_sum(list_transform(range(1, draws + 1), lambda i:
   FROM who w JOIN cuts c ON w.source IS NOT DISTINCT FROM c.source),
 each AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS mix_copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, mix_copy, md5(name || '|' || mix_copy) AS mix_order FROM each""",
-    "op10_licences": f"""WITH templates(i, name, own, n, low, high) AS (VALUES {_templates()}),
+    "op10_licences": f"""WITH templates(i, name, own, n, low, high, words) AS (VALUES {_templates()}),
 low AS (SELECT doc_id, translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}') AS t FROM documents),
 units AS (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[ \\t]*\\n'))) AS unit FROM low),
 words AS (SELECT doc_id, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
@@ -138,10 +138,20 @@ bags AS (SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1,
   WHERE len(w) > (SELECT min(low) FROM templates)),
 hits AS (SELECT doc_id, i, name, 2.0::DOUBLE * len(list_intersect(bag, own)) / (len(bag) + n) AS score
   FROM bags JOIN templates ON len(bag) BETWEEN low AND high),
-good AS (SELECT * FROM hits WHERE score >= 0.8),
+runs AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS run
+  FROM (SELECT doc_id, string_split(trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM low)),
+places AS (SELECT doc_id, len(run) AS last, unnest(run) AS pair, unnest(range(1, len(run) + 1)) AS seat FROM runs),
+shared AS (SELECT doc_id, i, words, last, pair, seat FROM places JOIN (SELECT i, words, unnest(own) AS pair FROM templates) USING (pair) WHERE last >= words - 1),
+starts AS (SELECT DISTINCT doc_id, i, words, unnest(range(greatest(1, seat - words + 2), least(seat, last - words + 2) + 1)) AS start FROM shared),
+common AS (SELECT s.doc_id, s.i, s.words, s.start, count(DISTINCT h.pair) AS c FROM starts s JOIN shared h ON h.doc_id = s.doc_id AND h.i = s.i
+  AND h.seat BETWEEN s.start AND s.start + s.words - 2 GROUP BY ALL),
+windows AS (SELECT doc_id, i, name, max(2.0::DOUBLE * c / (len(list_distinct(run[start:start + words - 2])) + n)) AS score
+  FROM (SELECT * EXCLUDE (words) FROM common) JOIN templates USING (i) JOIN runs USING (doc_id) WHERE c >= low GROUP BY ALL),
+good AS (SELECT *, 1 AS unit FROM hits WHERE score >= 0.8 UNION ALL SELECT *, 0 FROM windows WHERE score >= 0.8),
 names AS (SELECT doc_id, string_agg(name, ',' ORDER BY seat) AS licences FROM (SELECT doc_id, name, min(i) AS seat FROM good GROUP BY doc_id, name) GROUP BY doc_id),
-best AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM good)
-SELECT d.doc_id, coalesce(licences, '') AS licences, name AS best, round(score, 6) AS best_score, coalesce(n, 0)::INTEGER AS n_units
+best AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r, sum(unit) OVER (PARTITION BY doc_id) AS n,
+  sum(1 - unit) OVER (PARTITION BY doc_id) AS m FROM good)
+SELECT d.doc_id, coalesce(licences, '') AS licences, name AS best, round(score, 6) AS best_score, coalesce(n, 0)::INTEGER AS n_units, coalesce(m, 0)::INTEGER AS n_windows
 FROM documents d LEFT JOIN names USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = d.doc_id""",
     "op11_ranking": """WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]|[^\x00-\x7F]') AS z,
   list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') AS terms FROM documents),

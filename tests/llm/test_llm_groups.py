@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -328,11 +329,40 @@ def test_components_of_paths(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def plain_licences(text, threshold=0.8):
+    """Names, best, units and windows, from all lines, paragraphs and windows against all templates."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    cut = lambda t: re.sub("[^a-z0-9]+", " ", t).strip(" ").split(" ")
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    bags = {frozenset(pairs(cut(u))) for u in [*low.split("\n"), *re.split("\n[ \t]*\n", low)]}
+    run, units, windows, best = pairs(cut(low)), 0, 0, []
+    for i, (name, template) in enumerate(licences.TEMPLATES):
+        own, n = set(licences.template_bigrams(template)), len(licences.template_words(template)) - 1
+        dice = lambda bag, own=own: 2 * len(own & bag) / (len(bag) + len(own))
+        scores = [s for s in map(dice, bags) if s >= threshold]
+        units += len(scores)
+        inside = max((dice(set(run[p:p + n])) for p in range(len(run) - n + 1)), default=0)
+        windows += inside >= threshold
+        scores += [inside] if inside >= threshold else []
+        best += [(max(scores), -i, name)] if scores else []
+    seen = {b[2] for b in best}
+    return [n for n in dict.fromkeys(n for n, _ in licences.TEMPLATES) if n in seen], max(best)[2] if best else None, round(max(best)[0], 6) if best else None, units, windows
+
+
 def test_licences(spark, cases, nothing):
+    rng = random.Random(12)
     mit = licences.TEMPLATES[3][1]
+    comment = "#!/bin/sh\n#\n# Copyright 2020\n#\n# " + mit.replace(", ", ",\n# ") + "\n#\n# more\nx = 1"
     texts = ["prose here\nReleased under the MIT License.\nmore", "x\n\n" + mit.replace(", ", ",\n") + "\n\ny", "Licensed under the Apache License, version 2.0",
-             "licensed under cc by-nc 4.0; Released under the MIT license", "This work is licensed under the GNU General Public License, version 3.", None, "", "MIT"]
+             "licensed under cc by-nc 4.0; Released under the MIT license", "This work is licensed under the GNU General Public License, version 3.", None, "", "MIT",
+             "This module was written in 2019. Released under the MIT License.", "Released under the MIT License. Licensed under CC BY-NC 4.0.", comment]
+    edited = [(" ".join(w for w in prose(rng, 20).split(" ") + [w if rng.random() < keep else "other" for w in t.split(" ")] + prose(rng, 20).split(" ")))
+              for _, t in licences.TEMPLATES for keep in (1.0, 0.95, 0.9, 0.85)]
+    texts += edited + [" ".join(edited[:8]), "\n".join(edited) * 3]
     got = {r["doc_id"]: r for r in licences.find_licences(stored(spark, [row(i, t) for i, t in enumerate(texts)])).collect()}
-    assert [got[i]["licences"] for i in range(8)] == [["MIT"], ["MIT"], ["Apache-2.0"], [], ["GPL-3.0"], [], [], []]
+    assert [got[i]["licences"] for i in range(11)] == [["MIT"], ["MIT"], ["Apache-2.0"], ["MIT", "CC-BY-NC-4.0"], ["GPL-3.0"], [], [], [], ["MIT"],
+                                                       ["MIT", "CC-BY-NC-4.0"], ["MIT"]]
     assert got[0]["best_score"] == got[1]["best_score"] == 1.0 and got[5]["best"] is None
+    for i, t in enumerate(texts):
+        assert tuple(got[i])[1:] == plain_licences(t), t
     assert licences.find_licences(cases).count() == len(rows()) and licences.find_licences(nothing).count() == 0
