@@ -28,16 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenline.llm.texts import chunks, mix, random_words, text_bytes
+from screenline.session import work_dir
 
 SPAN = 100  # bytes of a string that counts as a repeat
 GRAM = 50
 SHIFTS = SPAN - GRAM + 1
 PART_BYTES = 16 << 20  # bytes of text per part of the exchanges
 LEAST_PARTS = 64
+FILES = 100_000  # files whose names are sent to the tasks, some 10 MB
+PLACE = 40  # bits of a row's number that are its place in its file
 HOT = 5000  # occurrences from which a gram's windows are sent one by one
 
 _BYTE = random_words(256, 51)
@@ -423,17 +427,49 @@ def removed_spans(spans: list[bytes] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """row, doc_id and text of docs, and the bytes of all texts; a row has the same number in every pass, however files are split.
+
+    A row of stored Parquet files is named by the place of its file among all and
+    by its place in the file. Rows of anything else (a filtered table, a union,
+    other formats), and of more than FILES files, are numbered once and written.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    try:
+        of = docs.metadataColumn("_metadata")
+        named = docs.select(of["file_path"].alias("path"), of["row_index"].alias("at"), F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
+    except AnalysisException:
+        named = None
+    if named is not None:
+        wide = F.col("at").cast("decimal(18,0)")
+        files = named.groupBy("path").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.sum(wide).alias("sum"), F.sum(wide * wide).alias("squares"),
+                                          F.sum(F.octet_length("text")).alias("size")).limit(FILES + 1).collect()
+        # every place of a file once
+        whole = all(f["last"] == f["n"] - 1 and 2 * int(f["sum"]) == f["n"] * (f["n"] - 1)
+                    and 6 * int(f["squares"]) == f["n"] * (f["n"] - 1) * (2 * f["n"] - 1) for f in files)
+        if whole and len(files) <= FILES and all(f["n"] <= 1 << PLACE for f in files):
+            numbers = [(path, i) for i, path in enumerate(sorted(f["path"] for f in files))]
+            numbers = F.broadcast(spark.createDataFrame(numbers, "path string, file long"))  # FILES rows at most
+            row = F.shiftleft("file", PLACE).bitwiseOR(F.col("at"))
+            return named.join(numbers, "path").select(row.alias("row"), "doc_id", "text"), sum(f["size"] for f in files)
+    top = work_dir(spark, "suffixes")
+    plain.withColumn("row", F.monotonically_increasing_id()).write.parquet(top)
+    stored = spark.read.schema("doc_id long, text binary, row long").parquet(top)
+    return stored, stored.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (array of begin and end of removed bytes) and kept (the bytes left, joined).
 
     Documents are ordered by id, null ids last; rows that share an id by their
     place in the table. A null text counts as empty. A copy of a text of 100 bytes
-    or more loses all bytes, shorter texts lose none. docs must be a stored table:
-    its rows are numbered in each of three passes. Other columns are ignored.
+    or more loses all bytes, shorter texts lose none. docs may be any table; one of
+    stored Parquet files is read in each of three passes, others are written first.
+    Other columns are ignored.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    source, total = _rows(docs, id_col, text_col)
     parts = max(LEAST_PARTS, int(total // part_bytes))
     grams = source.select("row", "text").mapInArrow(_grams(parts), "part int, base long, h binary, near binary, place binary")
     left = grams.groupBy("part").applyInArrow(_repeated(hot), "row long, places binary")

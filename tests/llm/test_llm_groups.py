@@ -127,6 +127,35 @@ def test_suffix_dedup_cases(cases, nothing):
     assert got.filter("doc_id in (0, 2) or doc_id is null").filter(F.length("kept") > 99).count() == 1
 
 
+def test_suffix_dedup_numbers_rows_alike(spark, cases, nothing, monkeypatch):
+    option, seen = "spark.sql.files.minPartitionNum", []
+    try:
+        for n in ("1", "40"):
+            spark.conf.set(option, n)
+            source, size = suffixes._rows(cases, "doc_id", "text")
+            seen.append((sorted((r["row"], r["doc_id"] or -1, bytes(r["text"])) for r in source.collect()), size))
+    finally:
+        spark.conf.unset(option)
+    assert seen[0] == seen[1] and len({r[0] for r in seen[0][0]}) == len(rows())
+    assert seen[0][1] == sum(len((r[1] or "").encode()) for r in rows())
+    assert suffixes._rows(nothing, "doc_id", "text")[1] == 0
+
+
+def test_suffix_dedup_of_other_tables(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = prose(rng, 40)
+    texts = [(i, prose(rng, 30) + (passage if i % 3 == 0 else "")) for i in range(60)]
+    data = stored(spark, [row(i, t) for i, t in texts])
+    want = sorted(map(repr, plain_repeats(texts)))
+    monkeypatch.setattr(suffixes, "FILES", 1)  # more files than that
+    assert repeats_of(suffixes.drop_repeats(data)) == want
+    monkeypatch.undo()
+    assert repeats_of(suffixes.drop_repeats(data.filter("doc_id <> 3"))) == sorted(map(repr, plain_repeats([t for t in texts if t[0] != 3])))
+    assert repeats_of(suffixes.drop_repeats(data.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")))) == sorted(
+        map(repr, plain_repeats([t for t in texts for _ in range(2)])))
+    assert repeats_of(suffixes.drop_repeats(data.withColumn("_metadata", F.lit("own")))) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), max_size=12), min_size=1, max_size=9))
 def test_merge_of_front_coded_runs(runs):
