@@ -452,11 +452,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
         if whole and len(files) <= FILES and all(f["n"] <= 1 << PLACE for f in files):
             numbers = [(path, i) for i, path in enumerate(sorted(f["path"] for f in files))]
             numbers = F.broadcast(spark.createDataFrame(numbers, "path string, file long"))  # FILES rows at most
-            row = F.shiftleft("file", PLACE).bitwiseOR(F.col("at"))
+            # never null: an inner join would else filter nulls, and the shuffle of the texts not serve the outer join too
+            row = F.coalesce(F.shiftleft("file", PLACE).bitwiseOR(F.col("at")), F.lit(0).cast("long"))
             return named.join(numbers, "path").select(row.alias("row"), "doc_id", "text"), sum(f["size"] for f in files)
     top = work_dir(spark, "suffixes")
     plain.withColumn("row", F.monotonically_increasing_id()).write.parquet(top)
     stored = spark.read.schema("doc_id long, text binary, row long").parquet(top)
+    stored = stored.withColumn("row", F.coalesce("row", F.lit(0).cast("long")))
     return stored, stored.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
