@@ -101,7 +101,8 @@ def _grams(parts: int):
                 order = np.argsort(h % np.uint64(parts), kind="stable")
                 h, near, place = h[order], (rows[text] - base)[order], (places - at[text])[order]
                 cut = np.searchsorted(h % np.uint64(parts), np.arange(parts + 1))
-                out = [(p, base, h[a:b].tobytes(), near[a:b].astype("<u4").tobytes(), place[a:b].astype("<u4").tobytes())
+                near = near.astype("<u4" if not len(near) or near.max() < 1 << 32 else "<i8")  # rows of several files may be far apart
+                out = [(p, base, h[a:b].tobytes(), near[a:b].tobytes(), place[a:b].astype("<u4").tobytes())
                        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 if out:
                     yield _batch(out, _GRAMS)
@@ -133,7 +134,8 @@ def _repeated(hot: int):
     def run(part: pa.Table) -> pa.Table:
         h = _joined(part["h"], np.uint64)
         sizes = np.array([len(x) // 8 for x in part["h"].to_pylist()])
-        rows = np.repeat(part["base"].to_numpy(), sizes) + _joined(part["near"], "<u4")
+        near = [np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8").astype(np.int64) for x, n in zip(part["near"].to_pylist(), sizes.tolist(), strict=True)]
+        rows = np.repeat(part["base"].to_numpy(), sizes) + np.concatenate(near)
         place = _joined(part["place"], "<u4").astype(np.int64)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]

@@ -141,6 +141,25 @@ def test_suffix_dedup_numbers_rows_alike(spark, cases, nothing, monkeypatch):
     assert suffixes._rows(nothing, "doc_id", "text")[1] == 0
 
 
+def test_suffix_dedup_of_many_files_in_one_task(spark):
+    from screenline.session import work_dir
+
+    rng = random.Random(33)
+    passage = prose(rng, 40)
+    texts = [(i, prose(rng, 30) + (passage if i % 3 == 0 else "")) for i in range(60)]
+    path, options = work_dir(spark, "files"), {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(12).write.parquet(path)
+    try:
+        for name, value in options.items():
+            spark.conf.set(name, value)
+        data = spark.read.parquet(path)
+        assert len(data.inputFiles()) == 12 and data.rdd.getNumPartitions() == 1
+        assert repeats_of(suffixes.drop_repeats(data)) == sorted(map(repr, plain_repeats(texts)))
+    finally:
+        for name in options:
+            spark.conf.unset(name)
+
+
 def test_suffix_dedup_of_other_tables(spark, monkeypatch):
     rng = random.Random(31)
     passage = prose(rng, 40)
