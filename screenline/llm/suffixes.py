@@ -146,7 +146,7 @@ def _repeated(hot: int):
         chosen = order[keep]
         # a hot gram's places are stored as -1 - place
         marked = np.where(many[keep] > hot, -1 - place[chosen], place[chosen])
-        return _by_row(rows[chosen], marked.astype("<i8"), "places")
+        return _by_row(rows[chosen], marked.astype("<i4"), "places")  # a value of Spark is shorter than 2^31 bytes
     return run
 
 
@@ -268,7 +268,7 @@ def _runs_of(some: pa.RecordBatch, parts: int) -> list[tuple]:
         some.column("places").to_pylist(), strict=True)]
     docs.sort(key=lambda d: d[:2])  # so that the first seen is the first
     for doc, row, text, pieces in docs:
-        marked = np.frombuffer(b"".join(pieces), "<i8")
+        marked = np.frombuffer(b"".join(pieces), "<i4")
         marked = marked[np.argsort(np.where(marked < 0, -1 - marked, marked))]  # from the first place on
         for place in marked.tolist():
             is_hot = place < 0
@@ -355,7 +355,7 @@ def _covers(part: pa.Table) -> pa.Table:
     if suffixes.num_rows:
         found.append(_equal_windows(suffixes))
     rows, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-    return _by_row(rows, np.ascontiguousarray(np.stack([first, last], axis=1).astype("<i8")), "spans")
+    return _by_row(rows, np.ascontiguousarray(np.stack([first, last], axis=1).astype("<i4")), "spans")
 
 
 def _equal_windows(runs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -418,7 +418,7 @@ def removed_spans(spans: list[bytes] | None) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes from spans of window starts."""
     if not spans:
         return []
-    pairs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    pairs = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     out: list[list[int]] = []
     for first, last in pairs.tolist():
