@@ -92,3 +92,26 @@ def test_trained_svm_is_a_linear_model(spark):
     assert out.filter("y_true = y_pred").count() == 20
     with pytest.raises(ValueError):
         models.train(df, "tree")
+
+
+def test_a_pass_is_one_job(spark):
+    data = [([i % 5], [1.0], i % 3) for i in range(40)]
+    rows = spark.createDataFrame(data, "term_ids array<int>, term_weights array<double>, label_index long").repartition(8)
+    spark.sparkContext.setJobGroup("passes", "passes")
+    try:
+        got = svm.fit_squared_hinge(rows, 5, [1, 1, 1])
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("passes")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.passes <= len(jobs) <= got.passes + 8  # 8 a pass when the parts were iterated over
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(svm, "BLOCK", 3)
+    data = [(None, None, 0), ([1, 2], [1.0, 2.0], 1), ([0, 1, 2, 3, 4], [1.0] * 5, 2), ([], [], 0), ([3], [0.5], 1), ([4, 5], [1.5, 2.5], 2)]
+    rows = spark.createDataFrame(data, "term_ids array<int>, term_weights array<double>, label_index long").coalesce(1)
+    blocks = svm._blocks(rows).collect()
+    assert max(len(terms) for _, terms, _, _ in blocks) == 5 and len(blocks) > 2
+    got = [(terms.tolist(), entries.tolist(), label) for sizes, t, e, labels in blocks
+           for terms, entries, label in zip(np.split(t, np.cumsum(sizes)[:-1]), np.split(e, np.cumsum(sizes)[:-1]), labels.tolist(), strict=True)]
+    assert got == [(i or [], v or [], k) for i, v, k in data]
