@@ -94,12 +94,13 @@ def predict_intent(df: DataFrame, text_col: str, scorer: str | Transformer | Non
         warnings.warn(f"the model cannot be applied, phrases are counted instead: {e}", stacklevel=2)
         return keyword_intent(df, text_col)
     kept = {"_model_label": F.col("intent_label"), "_model_confidence": F.col("intent_confidence")}
-    both = keyword_intent(scored.withColumns(kept), text_col)
     failed = F.col("_model_confidence").isNull() | F.isnan("_model_confidence")
+    # phrases are counted in texts of failed rows alone; all others reach the counter as nulls
+    both = keyword_intent(scored.withColumns(kept).withColumn("_failed_text", F.when(failed, F.col(text_col))), "_failed_text")
     return both.withColumns({
         "intent_label": F.when(failed, F.col("intent_label")).otherwise(F.col("_model_label")),
         "intent_confidence": F.when(failed, F.col("intent_confidence")).otherwise(F.col("_model_confidence")),
-    }).drop(*kept)
+    }).drop(*kept, "_failed_text")
 
 
 def score_table(df: DataFrame, model: Transformer, id_col: str = "id", text_col: str = "text",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import functions as F
 
-from screenline.operators import models, svm
+from screenline.operators import intent, models, svm
 from screenline.operators.intent import keyword_intent, predict_intent
 
 
@@ -73,6 +73,16 @@ def test_rows_a_model_fails_on_get_the_phrase_result(spark):
     assert [got[i] for i in (1, 2, 3)] == [phrase[i] for i in (1, 2, 3)] and phrase[1][0] == "PROMPT_INJECTION"
 
 
+def test_phrases_are_counted_for_failed_rows_alone(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(intent, "keyword_intent", lambda df, c: seen.append((df, c)) or keyword_intent(df, c))
+    df = spark.createDataFrame([(0, "plain dan mode"), (1, "null dan mode")], "id int, t string")
+    got = predict_intent(df, "t", Sometimes())
+    assert got.columns == ["id", "t", "intent_label", "intent_confidence"] and got.count() == 2
+    (given, column), = seen
+    assert {r["id"]: r[column] for r in given.collect()} == {0: None, 1: "null dan mode"}
+
+
 def test_a_model_that_cannot_be_applied(spark):
     class Broken(Transformer):
         def _transform(self, df):
