@@ -111,6 +111,20 @@ def test_length_is_summed_once_per_text(spark):
     assert "SQRT(" in plan and not re.search(r"/ SQRT\(aggregate\(", plan)
 
 
+def test_terms_are_counted_without_an_entry_per_term(spark):
+    """Lists of terms are exploded as they are; no function makes a pair of numbers for each term first."""
+    texts = ["aa bb aa bb", "aa", "AA\u212a bb", "", None, "x", "aa"]
+    found = T.term_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    every, holding = Counter(), Counter()
+    for t in texts:
+        words = re.findall(r"\w{2,}", (t or "").lower())
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        every.update(terms)
+        holding.update(set(terms))
+    assert {tuple(r) for r in found.collect()} == {(t, n, holding[t]) for t, n in every.items()}
+    assert not re.search(r"\btransform\(", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_tokens_of_ascii_and_other_texts(spark):
     texts = ["A b_c 12 x9", "Ünï a1 ß éé ٣٤ 漢字", "K\u212aB", "", None, "a", "don't"]
     rows = T.with_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).orderBy("id").collect()
