@@ -9,6 +9,8 @@ one length form a bucket, from which batches are drawn.
 from __future__ import annotations
 
 import gc
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 from struct import pack as pack_ids
@@ -25,11 +27,34 @@ GROUP = 1 << 17  # characters of texts that are encoded together
 MEMO = 700_000  # distinct words, about 200 bytes each, in each of the two generations a worker remembers. Changes no result.
 
 
+# How the tokenizer splits a word in lower case, and the same for words of printable ASCII without "<", at which
+# special strings begin, and Latin-1 letters: there NFC changes nothing and lower case is one to one. Line ends part the words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_IS_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+_PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^0-9a-zß-öø-ÿ\n]+").findall
+_END = b"\xff" * 4  # no id: these stay below 2 ** 24
+
+
+def _settings_for_parts(tokenizer_file: str) -> str | None:
+    """The tokenizer without the steps that leave a plain word's part in lower case as it is; none if it has other steps."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        settings = json.load(f)
+    steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    pre = (settings["pre_tokenizer"] or {}).get("pretokenizers") or []
+    if ((settings["normalizer"] or {}).get("normalizers") != steps or len(pre) != 2 or pre[0] != split or pre[1]["type"] != "ByteLevel"
+            or pre[1]["add_prefix_space"] or pre[1]["use_regex"] or not all("<" in t["content"] for t in settings["added_tokens"])):
+        return None
+    return json.dumps({**settings, "normalizer": None, "pre_tokenizer": pre[1]})
+
+
 class WordEncoder:
     """Ids of whole texts, worked out once per distinct space-separated word.
 
     Usable with tokenizers whose pre-tokens never reach over a space and which
-    drop spaces; the constructor tests that on the tokenizer.
+    drop spaces; the constructor tests that on the tokenizer. If it splits words
+    as `SPLIT` does, the tokenizer sees the distinct parts of plain words: a word
+    in another case or with other marks around it gives nothing new.
     """
 
     def __init__(self, tokenizer_file: str, remember: int = MEMO):
@@ -42,12 +67,31 @@ class WordEncoder:
         for probe in ("some words here", "a  b c", "x, y! 9", "two\nlines\n\n here"):
             if self._ids([probe])[0] != b"".join(self._ids([w for w in probe.replace("\n", " ").split(" ") if w])):
                 raise ValueError("this tokenizer does not work word by word")
+        settings = _settings_for_parts(tokenizer_file)
+        self.parts = Tokenizer.from_str(settings) if settings and self.tokenizer.get_vocab_size() < 1 << 24 else None
         self.remember = remember
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[str], parts: bool = False) -> list[bytes]:
+        found = (self.parts if parts else self.tokenizer).encode_batch_fast(words, add_special_tokens=False)
+        return [pack_ids(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words not known yet. Parts of plain words are words in lower case or marks, and remembered as such."""
+        plain = list(filter(_IS_PLAIN, words)) if self.parts else []
+        others = list(words.difference(plain))
+        self.memo.update(zip(others, self._ids(others), strict=True))
+        if not plain:
+            return
+        split = _PLAIN_PARTS("\n".join(plain).lower())
+        self.memo["\n"] = _END  # in no word
+        new = set(split).difference(self.memo)
+        known = [w for w in new if w in self.before]
+        self.memo.update([(w, self.before[w]) for w in known])
+        unknown = list(new.difference(known))
+        self.memo.update(zip(unknown, self._ids(unknown, parts=True), strict=True))
+        self.memo.update(zip(plain, b"".join(map(self.memo.__getitem__, split)).split(_END), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
@@ -64,8 +108,7 @@ class WordEncoder:
             # words of the last generation move on, so frequent ones are never worked out again
             known = [w for w in new if w in self.before]
             self.memo.update([(w, self.before[w]) for w in known])
-            unknown = list(new.difference(known))
-            self.memo.update(zip(unknown, self._ids(unknown), strict=True))
+            self._learn(new.difference(known))
         ids_of = self.memo.__getitem__
         return [b"".join(map(ids_of, words)) for words in split]
 

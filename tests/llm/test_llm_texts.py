@@ -152,6 +152,26 @@ def test_encoder_keeps_generations():
     assert [len(g) for g in packing.groups(["aaa", "b", "c" * 9, "", "dd"], 4)] == [2, 1, 2] and not list(packing.groups([]))
 
 
+WORDS = packing.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abestrvmld TSREVMLD''  019.,-!<|>~ÀÞßàÿŸªµ²×÷é\u0301İſ\x7f\x85\xa0\t\n", max_size=60))
+def test_encoder_equals_library(text):
+    own, plain = WORDS
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_each_part_is_encoded_once(monkeypatch):
+    """However written and whatever marks are around it; other words go to the tokenizer whole."""
+    own, plain, asked = packing.WordEncoder(WORD_BPE), WORDS[1], []
+    monkeypatch.setattr(own, "_ids", lambda words, *more, ids=own._ids, **named: asked.extend(words) or ids(words, *more, **named))
+    texts = ["Öffnung öffnung, ÖFFNUNG! (öffnung)", "öffnung's 1öffnung, <öffnung E\u0301", "Öffnung"]
+    found = own.encode_all(texts[:1]) + own.encode_all(texts[1:])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == sorted(["öffnung", ",", "!", "(", ")", "'s", "1", "<öffnung", "E\u0301"])
+
+
 def plain_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
