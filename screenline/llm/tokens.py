@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MEMO = 450_000  # entries of each table in each of the two generations a worker remembers. Changes no result.
 REMEMBERED = (4, 6, 8, 11, 15)  # prefixes of these lengths are carried on from
+_REMEMBERED, _LONGEST_FIRST = frozenset(REMEMBERED), REMEMBERED[::-1]
 _SEGMENT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
@@ -63,10 +64,21 @@ class _Totals(Recent):
     def __missing__(self, segment: str) -> int:
         n = self.before.get(segment)
         if n is None:
-            n = self.own.table(segment)[-1]
+            n = self.own.total(segment)
         return self.keep(segment, n) if len(segment) <= 40 else n
 
 
+class _Place(dict):
+    """The longest ending of a text that begins some token. Its entries are the places after one more character, as far as met."""
+
+    __slots__ = ("ending", "tokens")
+
+    def __init__(self, ending: str, tokens: list[tuple[int, str, dict[str, bool]]]):
+        super().__init__()
+        self.ending = ending
+        self.tokens = tokens  # those that are endings of it, longest first: length, token, and whether tokens met before it go with it
+
+
 class PrefixCounter:
     """Counts by dynamic programming over the pieces of a sentencepiece BPE model with byte fallback."""
 
@@ -88,10 +100,22 @@ class PrefixCounter:
         # pieces that no merge sequence makes never appear in an encoding
         self.known = {p for p in score if len(p) == 1 or self._merge(p) == [p]}
         self.begins = {p[:i] for p in self.known for i in range(1, len(p) + 1)}
-        self.ending = Recent()  # str -> (str, tuple of tokens)
-        self.fits = Recent()  # (token, token) -> bool
-        self.states = Recent()  # str -> (last tokens, counts, tail)
+        self.states = Recent()  # str -> (last tokens, counts, place)
         self.totals = _Totals(self)
+        self.root = _Place("", [])
+        self.places = {"": self.root}  # by their ending, which begins some token
+        self.tokens: dict[str, tuple[int, str, dict[str, bool]]] = {}
+        self.met = 0  # entries of all places and of all pairs of tokens
+
+    def _one_more(self) -> None:
+        """Count an entry of a place or a pair. When there are too many, places and pairs begin anew without any."""
+        if self.met >= 2 * MEMO:
+            self.met = 0
+            for place in self.places.values():
+                place.clear()
+            for _, _, fits in self.tokens.values():
+                fits.clear()
+        self.met += 1
 
     def _merge(self, text: str) -> list[str]:
         """Encoding of a short text: the best-ranked adjacent pair is joined first, the leftmost of equals."""
@@ -107,44 +131,70 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _grow(self, segment: str) -> bytes | array:
+    def _grow(self, segment: str) -> list[int]:
         """Count at each prefix of a segment, carried on from the longest prefix known already."""
-        fits, states, ending = self.fits, self.states, self.ending
-        start, state = 0, None
-        for start in reversed(REMEMBERED):
-            if start < len(segment) and (state := states.find(segment[:start])):
+        states = self.states
+        recent, older = states.get, states.before.get
+        last, count, place, end = [], [], self.root, 0
+        for known in _LONGEST_FIRST:
+            if known < len(segment):
+                prefix = segment[:known]
+                if (state := recent(prefix)) is None:
+                    if (state := older(prefix)) is None:
+                        continue
+                    states.keep(prefix, state)
+                last, count, place, end = [*state[0]], [*state[1]], state[2], known
                 break
-        start = start if state else 0
-        last, count, tail = state or ((), b"", "")
-        last, count = list(last), list(count)
-        for end in range(start + 1, len(segment) + 1):
-            tail += segment[end - 1]
-            tail, tokens = ending.find(tail) or self._end(tail)
-            if not tokens:  # a character written as its bytes; joins with nothing
+        for char in segment[end:]:
+            end += 1
+            after = place.get(char)
+            place = self._step(place, char) if after is None else after
+            if not place.tokens:  # a character written as its bytes; joins with nothing
                 last.append(None)
-                count.append((count[-1] if count else 0) + len(segment[end - 1].encode("utf-8", "surrogatepass")))
-            for token in tokens:
-                begin = end - len(token)
-                if begin and (before := last[begin - 1]) is not None:
-                    good = fits.find((before, token))
+                count.append((count[-1] if count else 0) + len(char.encode("utf-8", "surrogatepass")))
+            for size, token, fits in place.tokens:
+                begin = end - size
+                if not begin:
+                    last.append(token)
+                    count.append(1)
+                    break
+                before = last[begin - 1]
+                if before is not None:
+                    good = fits.get(before)
                     if good is None:
-                        good = fits.keep((before, token), self._merge(before + token) == [before, token])
+                        self._one_more()
+                        good = fits[before] = self._merge(before + token) == [before, token]
                     if not good:
                         continue
                 last.append(token)
-                count.append((count[begin - 1] if begin else 0) + 1)
+                count.append(count[begin - 1] + 1)
                 break
-            if end in REMEMBERED:
-                states.keep(segment[:end], (tuple(last), bytes(count), tail))
-        return bytes(count) if max(count) < 256 else array("L", count)
-
-    def _end(self, tail: str) -> tuple[str, tuple[str, ...]]:
-        """The longest ending that begins some token, and the tokens that are endings of it, longest first."""
-        short = tail
+            if end in _REMEMBERED:
+                states.keep(segment[:end], (tuple(last), bytes(count), place))
+        return count
+
+    def _step(self, place: _Place, char: str) -> _Place:
+        """The place after one more character, which `place` then knows."""
+        self._one_more()
+        short = place.ending + char
         while short and short not in self.begins:
             short = short[1:]
-        found = short, tuple(short[i:] for i in range(len(short)) if short[i:] in self.known)
-        return self.ending.keep(tail, found)
+        after = self.places.get(short)
+        if after is None:
+            names = [short[i:] for i in range(len(short)) if short[i:] in self.known]
+            after = self.places[short] = _Place(short, [self.tokens.setdefault(t, (len(t), t, {})) for t in names])
+        place[char] = after
+        return after
+
+    def total(self, segment: str) -> int:
+        """The last count of a segment's table."""
+        if segment[:1] == "\n":
+            return 1 + (self._total_of(segment[1:]) if len(segment) > 1 else 0)
+        return self._total_of((segment if segment[:1] == " " else " " + segment).replace(" ", MARK))
+
+    def _total_of(self, marked: str) -> int:
+        found = self.states.find(marked) if len(marked) in _REMEMBERED else None
+        return (found[1] if found else self._grow(marked))[-1]
 
     def table(self, segment: str) -> bytes | array:
         """Counts at the prefixes of 1, 2, ... code points of a segment as `segments` gives them."""
@@ -156,7 +206,10 @@ class PrefixCounter:
 
     def table_of(self, marked: str) -> bytes | array:
         found = self.states.find(marked)
-        return found[1] if found else self._grow(marked)
+        if found:
+            return found[1]
+        count = self._grow(marked)
+        return bytes(count) if max(count) < 256 else array("L", count)
 
     @staticmethod
     def segments(text: str) -> list[str]:
