@@ -125,3 +125,35 @@ def test_blocks_hold_all_rows(spark, monkeypatch):
     got = [(terms.tolist(), entries.tolist(), label) for sizes, t, e, labels in blocks
            for terms, entries, label in zip(np.split(t, np.cumsum(sizes)[:-1]), np.split(e, np.cumsum(sizes)[:-1]), labels.tolist(), strict=True)]
     assert got == [(i or [], v or [], k) for i, v, k in data]
+
+
+def frequent_and_rare(n, terms, seed=5):
+    """Rows of unit length, as texts give them: few terms in many rows, many in few, some rows without any."""
+    rng = np.random.default_rng(seed)
+    x = (rng.random((n, terms)) < np.minimum(0.9, 6 / np.arange(1, terms + 1))) * rng.uniform(1, 4, (n, terms))
+    x[::17] = 0
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    y = np.where(rng.random(n) < 0.7, 0, rng.integers(0, 3, n))
+    return x, y, [([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r != 0]], int(k)) for r, k in zip(x, y, strict=True)]
+
+
+FEATURES = "term_ids array<int>, term_weights array<double>, label_index long"
+
+
+def test_rows_without_terms_among_others_and_sums_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(svm, "DIRECT", 2)
+    monkeypatch.setattr(svm, "BLOCK", 40)
+    x, y, data = frequent_and_rare(300, 40)
+    got = svm.fit_squared_hinge(spark.createDataFrame(data, FEATURES).repartition(6), 40, [0.5, 2.0, 1.3])
+    assert np.abs(got.weights - dense_newton(x, y, [0.5, 2.0, 1.3], 1.0, 3)).max() < 1e-4
+
+
+def test_passes_are_few_and_look_at_open_classes_alone(spark, monkeypatch):
+    asked, sums = [], svm._sums
+    monkeypatch.setattr(svm, "_sums", lambda blocks, n, weights, c, asks: asked.append((set(asks), blocks.getNumPartitions())) or sums(blocks, n, weights, c, asks))
+    x, y, data = frequent_and_rare(3000, 120)
+    got = svm.fit_squared_hinge(spark.createDataFrame(data, FEATURES).repartition(40), 120, [0.5, 3.0, 2.5])
+    assert (got.gradient <= 1e-5).all() and np.abs(got.weights - dense_newton(x, y, [0.5, 3.0, 2.5], 1.0, 3)).max() < 1e-4
+    assert got.passes == len(asked) < 50  # 58 when classes waited for each other and the Hessian was taken as it is
+    assert all(later <= earlier for (earlier, _), (later, _) in zip(asked, asked[1:])) and len(asked[-1][0]) < 3
+    assert {parts for _, parts in asked} == {spark.sparkContext.defaultParallelism}  # 40 before
