@@ -157,3 +157,13 @@ def test_passes_are_few_and_look_at_open_classes_alone(spark, monkeypatch):
     assert got.passes == len(asked) < 50  # 58 when classes waited for each other and the Hessian was taken as it is
     assert all(later <= earlier for (earlier, _), (later, _) in zip(asked, asked[1:])) and len(asked[-1][0]) < 3
     assert {parts for _, parts in asked} == {spark.sparkContext.defaultParallelism}  # 40 before
+
+
+def test_tasks_of_a_pass_fill_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(svm, "PART", 200)
+    seen, sums = set(), svm._sums
+    monkeypatch.setattr(svm, "_sums", lambda blocks, *a: seen.add(blocks.getNumPartitions()) or sums(blocks, *a))
+    x, _, data = frequent_and_rare(200, 40)
+    cores = spark.sparkContext.defaultParallelism
+    svm.fit_squared_hinge(spark.createDataFrame(data, FEATURES).repartition(5 * cores), 40, [1, 1, 1], steps=1)
+    assert seen == {cores * -(-np.count_nonzero(x) // (200 * cores))} and cores < min(seen) < 5 * cores
